@@ -20,8 +20,8 @@ Components follow from links by propagating the smallest id, with pointer jumpin
 
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing
 and is kept; with fewer than five words the whole sequence is the one shingle; ties go to the
-smallest id; repeated rows get equal results; a null id is linked through its set like any other
-and is never the smallest; other columns are not read.
+smallest id; repeated rows get equal results; a row with a null id joins a group only through a
+set equal to one of it, and is never the smallest; other columns are not read.
 """
 
 from __future__ import annotations
