@@ -1,11 +1,13 @@
-"""The library's queries over the driver's tables."""
+"""All of the library's own queries."""
 
 from __future__ import annotations
 
+from kbspark.plans import base, catalog, corpus, layout, retrieval  # noqa: F401  (importing registers)
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(base.SQL)
