@@ -187,14 +187,28 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     items = map_columns(rows.join(texts, "rep"), shingle, "rep long, component long, n long, x long")
     seen = items.groupBy("x").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high"))
-    # the places of elements of one component alone count in the order, their rows need not travel on
-    order = F.array_sort(F.collect_list(F.struct("f", "x", F.col("low").eqNullSafe(F.col("high")).alias("own"))))
+    # elements of one component alone match nothing here: they stand first in the order and do not travel on
+    order = F.array_sort(F.collect_list(F.struct((F.col("low") != F.col("high")).alias("shared"), "f", "x")))
     per = items.join(seen, "x").groupBy("rep", "component", "n").agg(order.alias("s"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = per.select("rep", "component", "n", F.explode(F.slice("s", F.lit(1), length)).alias("e")).where("NOT e.own").select("rep", "component", "n", F.col("e.x").alias("x"))
+    prefix = per.select("rep", "component", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("place", "e")).where("e.shared").select("rep", "component", "n", "place", F.col("e.x").alias("x"))
     prefix = stored(prefix, "prefix")
-    left, right = prefix.select("x", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n")]), prefix.select("x", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n")])
-    close = (F.col("component_a") < F.col("component_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+
+    def reach(n, other):
+        """Places of a set of n that can be the first match with a set of another size: the overlap must be p / (1 + p) of both sizes."""
+        return n - F.ceil((n + other) * percent / (100 + percent)) + 1
+
+    # rows whose place is out of reach for the smallest partner that the element offers, then elements left to one component
+    least = prefix.groupBy("x").agg(F.min("n").alias("n_min"))
+    smallest = F.greatest(F.col("n_min"), F.ceil(F.col("n") * percent / 100))
+    useful = prefix.join(least, "x").where(F.col("place") < reach(F.col("n"), smallest)).drop("n_min")
+    both = useful.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("x")
+    useful = stored(useful.join(both, "x", "left_semi"), "useful")
+    left, right = (useful.select("x", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "place")]) for side in "ab")
+    close = (
+        (F.col("component_a") < F.col("component_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+        & (F.col("place_a") < reach(F.col("n_a"), F.col("n_b"))) & (F.col("place_b") < reach(F.col("n_b"), F.col("n_a")))
+    )
     return left.join(right, "x").where(close).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
