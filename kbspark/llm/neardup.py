@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import map_columns, stored
+from kbspark.llm.common import map_columns, maybe_broadcast, stored
 
 WORDS = 5
 #: Link: 100 * intersection >= PERCENT * union.
@@ -48,6 +48,8 @@ CACHE_WORDS = 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: An odd factor for each place in a shingle.
+_FACTORS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @functools.cache
@@ -65,13 +67,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Sets of 64-bit shingle hashes; holds the hashes of the words of a Python worker."""
 
     def __init__(self, words: int = WORDS):
-        import xxhash
-
-        self.words, self.hash, self.known = words, xxhash.xxh3_64_intdigest, {}
+        self.words, self.known = words, WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct shingles."""
@@ -80,16 +90,12 @@ class Shingler:
             return np.zeros(0, np.uint64)
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known = self.known
-        for w in found:
-            if w not in known:
-                known[w] = self.hash(w)
-        h = np.array([known[w] for w in found], np.uint64)
+        h = np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
         k = min(self.words, len(h))
         out = np.full(len(h) - k + 1, np.uint64(k), np.uint64)
         for i in range(k):
-            out = mix(out * _ODD + h[i : len(h) - k + 1 + i])
-        return np.unique(out)
+            out += h[i : len(h) - k + 1 + i] * _FACTORS[i]
+        return np.unique(mix(out))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -218,7 +224,8 @@ def near_links(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, percent
     pivots = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
     members = stored(rows.join(pivots, "bucket").where("rep > pivot").select("bucket", "pivot", "rep"), "members")
     pairs = stored(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = stored(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "wanted")
+    wanted = maybe_broadcast(wanted, wanted.count(), 16)
     own = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
     texts = stored(own.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
     tested = stored(overlaps(pairs, texts), "tested")
