@@ -8,7 +8,8 @@ the first occurrence (smallest document id, then position) stays; all others go.
 
 Defined results: a null text has no lines and stays null; a null site counts as the site ''; a
 line is compared without blanks at its ends; lines under `min_chars` characters always stay;
-repeated rows are alike, so all of them keep a line if one does; extra columns are carried along.
+repeated rows are alike, so all of them keep a line if one does; extra columns are carried along,
+but for own n_lines and n_removed, which the results replace.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def dedup_lines(
     own = docs.withColumns({"__k1": k1, "__k2": k2})
     marked = own.join(flags.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.struct("goes").alias("d")), ["__k1", "__k2"], "left")
     return marked.select(
-        *[F.when(F.col("d").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(F.col("d").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(F.filter("d.goes", lambda x: x)), F.lit(0)).cast("long").alias("n_removed"),
     )
