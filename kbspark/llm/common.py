@@ -73,8 +73,26 @@ def text_batches(texts, limit: int = 2_000_000):
         yield start, len(texts)
 
 
+_HELD: list = []
+
+
+def held_by_worker(name: tuple, make):
+    """An object that a Python worker keeps from task to task; asking for another one drops it, so that operators' caches do not add up."""
+    if not _HELD or _HELD[0] != name:
+        _HELD.clear()
+        _HELD.extend((name, make()))
+    return _HELD[1]
+
+
+def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about `limit` bytes, 1000 rows at most."""
+    step = max(1, min(1000, batch.num_rows * limit // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def map_columns(df: DataFrame, fn, ddl: str) -> DataFrame:
-    """mapInArrow over plain lists: `fn` gets an iterator of {column: list} and yields the same for `ddl`.
+    """mapInArrow over plain lists: `fn` gets an iterator of {column: list}, in small parts, and yields the same for `ddl`.
 
     Lists keep 64-bit integers exact beside nulls, which pandas would turn into floats.
     """
@@ -82,7 +100,7 @@ def map_columns(df: DataFrame, fn, ddl: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        for out in fn({c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names)} for b in batches if b.num_rows):
+        for out in fn({c: part.column(i).to_pylist() for i, c in enumerate(part.schema.names)} for b in batches for part in slices(b)):
             yield pa.RecordBatch.from_pydict({c: out[c] for c in arrow.names}, schema=arrow)
 
     return df.mapInArrow(run, schema)

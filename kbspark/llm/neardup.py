@@ -43,7 +43,7 @@ PERCENT = 85
 #: The chance that none of BANDS bands of ROWS rows agrees at similarity 0.85 is (1 - 0.85**5)**24 < 1e-6.
 BANDS, ROWS = 24, 5
 UNIVERSE_BITS = 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}

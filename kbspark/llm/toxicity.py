@@ -10,8 +10,8 @@ pattern counts.
 Lexicon and weights are learned on Spark from labelled documents outside the held-out fifth:
 - near copies count once (a sketch of their word windows), else the words of one copied toxic
   document would look like insults;
-- document counts by label of words and word beginnings give the terms whose share of toxic
-  documents is surely high; at most MAX_TERMS of them, the most certain ones, are kept;
+- counts by label of the families that have a word or word beginning give the terms whose share of
+  toxic families is surely high; at most MAX_TERMS of them, the most certain ones, are kept;
 - pattern counts, each cut at CAP, are grouped, so the fit gets at most (CAP + 1)**len(PATTERNS)
   distinct rows, whatever the number of documents. Scores use counts that are not cut.
 
@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import map_columns, stored
+from kbspark.llm.common import map_columns, maybe_broadcast, stored
 
 #: Fixed word lists.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown".split()
@@ -44,7 +44,7 @@ REPORTS = "said says say told tells called calls wrote writes claimed claims quo
 OTHER, END, INSULT, THREAT, TARGET, NEGATION, REPORT = range(7)
 #: Beginnings of words that are counted, besides whole words.
 STEMS = (4, 5)
-MAX_TERMS, MIN_SUPPORT, SUPPORT_SHARE, SURE = 512, 5, 0.005, 0.75
+MAX_TERMS, MIN_SUPPORT, SUPPORT_SHARE, SURE = 512, 5, 0.02, 0.75
 CAP = 7
 PATTERNS = ("plain", "targeted", "negated", "reported", "threat")
 #: Weights without labels: base, one per pattern, all patterns together.
@@ -139,7 +139,7 @@ class Grammar:
     def patterns(self, text: str | None) -> list[int]:
         """Number of harmful words by clause pattern."""
         counts = [0] * len(PATTERNS)
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         known = self.known
         for line in (text or "").lower().split("\n"):
@@ -189,32 +189,48 @@ def sketch_of(words: list[str]) -> int:
     return min(xxhash.xxh3_64_intdigest(f"{a} {b} {c}") for a, b, c in zip(words, words[1:], words[2:], strict=False)) >> 1
 
 
-def surely(pos, n):
-    """Lower end of the 95 % Wilson interval of a share, as a column."""
+def surely(pos: int, n: int) -> float:
+    """Lower end of the 95 % Wilson interval of a share."""
     p, z2 = pos / n, 1.96**2
-    return (p + z2 / (2 * n) - 1.96 * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n)
+    return (p + z2 / (2 * n) - 1.96 * ((p * (1 - p) + z2 / (4 * n)) / n) ** 0.5) / (1 + z2 / n)
 
 
-def learn_terms(train: DataFrame) -> list[str]:
-    """Terms whose documents are surely toxic, from (text, toxic)."""
+def family_counts(docs: DataFrame, into: str, wanted: set[str] | None = None) -> DataFrame:
+    """(term, into): families of near copies that have each term, of `wanted` terms if given."""
 
     def words(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            out = {"toxic": batch["toxic"], "sketch": [], "terms": []}
+            out = {"sketch": [], "terms": []}
             for t in batch["text"]:
                 found = _WORD.findall((t or "").lower())
+                terms = {x for w in set(found) for x in terms_of(w)}
                 out["sketch"].append(sketch_of(found))
-                out["terms"].append(sorted({x for w in set(found) for x in terms_of(w)}))
+                out["terms"].append(sorted(terms if wanted is None else terms & wanted))
             yield out
 
-    docs = map_columns(train.select("text", "toxic"), words, "toxic int, sketch long, terms array<string>")
-    pairs = docs.select("sketch", "toxic", F.explode("terms").alias("term"))
-    # a family of near copies counts once for each term and label
-    once = pairs.groupBy("term", "sketch").agg(F.max("toxic").alias("toxic"))
-    counts = once.groupBy("term").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where(F.col("pos") >= MIN_SUPPORT)
-    families = docs.where("toxic = 1").select(F.approx_count_distinct("sketch").alias("families"))
-    scored = counts.join(F.broadcast(families)).where((F.col("pos") >= SUPPORT_SHARE * F.col("families")) & (surely(F.col("pos"), F.col("n")) >= SURE))
-    return [r["term"] for r in scored.orderBy(F.desc(surely(F.col("pos"), F.col("n"))), F.desc("pos"), "term").limit(MAX_TERMS).collect()]
+    pairs = map_columns(docs.select("text"), words, "sketch long, terms array<string>").select("sketch", F.explode("terms").alias("term"))
+    return pairs.distinct().groupBy("term").agg(F.count("*").alias(into))
+
+
+def learn_terms(train: DataFrame) -> list[str]:
+    """Terms whose documents are surely toxic, from (text, toxic).
+
+    Candidates are terms in SUPPORT_SHARE of the toxic families at least, so there are at most the
+    mean number of terms of a document divided by that share, whatever the size of the corpus; the
+    other documents are counted for these alone.
+    """
+    toxic, others = train.where("toxic = 1"), train.where("toxic = 0")
+
+    def sketches(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            yield {"sketch": [sketch_of(_WORD.findall((t or "").lower())) for t in batch["text"]]}
+
+    families = map_columns(toxic.select("text"), sketches, "sketch long").agg(F.approx_count_distinct("sketch")).first()[0]
+    counted = family_counts(toxic, "pos").where(F.col("pos") >= max(MIN_SUPPORT, SUPPORT_SHARE * families))
+    pos = {r["term"]: r["pos"] for r in counted.collect()}
+    neg = {r["term"]: r["neg"] for r in family_counts(others, "neg", set(pos)).collect()}
+    sure = {t: surely(n, n + neg.get(t, 0)) for t, n in pos.items()}
+    return sorted((t for t in pos if sure[t] >= SURE), key=lambda t: (-sure[t], -pos[t], t))[:MAX_TERMS]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -249,7 +265,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Model:
     """Learn from labelled documents; held-out ids are left out."""
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__toxic")).where(~held_out("__id"))
+    known = stored(labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__toxic")).where(~held_out("__id")), "toxic-labels")
+    known = maybe_broadcast(known, known.count(), 32)
     own = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text"))
     train = stored(own.join(known, F.col("__doc") == F.col("__id")).select("text", F.col("__toxic").alias("toxic")), "toxic-train")
     seen = {r["toxic"] for r in train.select("toxic").distinct().collect()}
