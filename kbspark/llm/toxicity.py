@@ -10,8 +10,9 @@ pattern counts.
 Lexicon and weights are learned on Spark from labelled documents outside the held-out fifth:
 - near copies count once (a sketch of their word windows), else the words of one copied toxic
   document would look like insults;
-- counts by label of the families that have a word or word beginning give the terms whose share of
-  toxic families is surely high; at most MAX_TERMS of them, the most certain ones, are kept;
+- counts by label of the families that have a word, a word beginning, or two words of one beginning
+  give the terms whose share of toxic families is surely high; at most MAX_TERMS of them, the most
+  certain ones, are kept;
 - pattern counts, each cut at CAP, are grouped, so the fit gets at most (CAP + 1)**len(PATTERNS)
   distinct rows, whatever the number of documents. Scores use counts that are not cut.
 
@@ -121,18 +122,38 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
 
 
+def terms_of_text(words: set[str]) -> set[str]:
+    """Terms of the distinct words; a beginning that two words or more share counts as a term of its own, with two stars."""
+    seen: set[str] = set()
+    twice: set[str] = set()
+    for w in words:
+        for t in terms_of(w):
+            if t in seen:
+                twice.add(t + "*")
+            seen.add(t)
+    return seen | twice
+
+
 class Grammar:
-    """Letters of words under a lexicon, and pattern counts of texts."""
+    """Letters of words under a lexicon, and pattern counts of texts.
+
+    A term with two stars makes insults of the words that begin so, in texts with two of them or more.
+    """
 
     def __init__(self, insults: list[str]):
         self.letter = {w: k for words, k in ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT)) for w in words}
-        self.insults = set(insults)
+        self.insults = {t for t in insults if not t.endswith("**")}
+        self.shared = {t[:-1] for t in insults if t.endswith("**")}
         self.known: dict[str, int] = {}
+        self.begins: dict[str, tuple[str, str]] = {}
 
     def _code(self, token: str) -> int:
         """Letter of a blank-delimited token, plus 8 if a clause ends with it."""
         found = _WORD.findall(token)
         codes = [INSULT if any(t in self.insults for t in terms_of(w)) else self.letter.get(w, OTHER) for w in found]
+        for w in found:
+            if shared := [t for t in terms_of(w) if t in self.shared]:
+                self.begins[token] = shared[-1], w
         code = next((c for k in (INSULT, THREAT, NEGATION, REPORT, TARGET) for c in codes if c == k), OTHER)
         return code + 8 * bool(re.search(r"[.!?;:,|]['\"’”»)]*$", token))
 
@@ -141,13 +162,21 @@ class Grammar:
         counts = [0] * len(PATTERNS)
         if len(self.known) > 200_000:
             self.known.clear()
-        known = self.known
-        for line in (text or "").lower().split("\n"):
+            self.begins.clear()
+        known, lower = self.known, (text or "").lower()
+        distinct = set(lower.split())
+        for t in distinct:
+            if t not in known:
+                known[t] = self._code(t)
+        families: dict[str, set[str]] = {}
+        some = [t for t in distinct if t in self.begins]
+        for t in some:
+            stem, word = self.begins[t]
+            families.setdefault(stem, set()).add(word)
+        raised = {t: INSULT + (known[t] & 8) for t in some if len(families[self.begins[t][0]]) > 1}
+        for line in lower.split("\n"):
             tokens = line.split()
-            for t in tokens:
-                if t not in known:
-                    known[t] = self._code(t)
-            codes = bytes([known[t] for t in tokens])
+            codes = bytes([raised.get(t, known[t]) for t in tokens] if raised else [known[t] for t in tokens])
             if INSULT not in codes and INSULT + 8 not in codes and THREAT not in codes and THREAT + 8 not in codes:
                 continue
             state = 0
@@ -203,7 +232,7 @@ def family_counts(docs: DataFrame, into: str, wanted: set[str] | None = None) ->
             out = {"sketch": [], "terms": []}
             for t in batch["text"]:
                 found = _WORD.findall((t or "").lower())
-                terms = {x for w in set(found) for x in terms_of(w)}
+                terms = terms_of_text(set(found))
                 out["sketch"].append(sketch_of(found))
                 out["terms"].append(sorted(terms if wanted is None else terms & wanted))
             yield out

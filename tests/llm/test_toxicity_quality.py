@@ -29,6 +29,16 @@ def test_grammar_by_clause():
     assert one("«IDIOT»") == {"plain": 1}
 
 
+def test_shared_beginnings():
+    """Words of a listed beginning are insults only where two different ones occur."""
+    assert {"achl*", "achl**", "achlu*", "achlung", "achlheit"} <= toxicity.terms_of_text({"achlung", "achlheit"})
+    assert "achl**" not in toxicity.terms_of_text({"achlung", "other"})
+    g = toxicity.Grammar(["achl**"])
+    assert g.patterns("ein achlung, achlung.") == [0] * 5
+    assert g.patterns("ein achlung\nund achlheit.") == [2, 0, 0, 0, 0]
+    assert g.patterns("ein achlung.") == [0] * 5
+
+
 def test_composition_follows_the_machines():
     machines = (toxicity.COUNT, toxicity.THREATENS, toxicity.AIMS, toxicity.DENIES, toxicity.REPORTS_ON)
     rng = random.Random(0)
