@@ -13,7 +13,6 @@ alone; other columns are carried along by `encode_decode`.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -23,23 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.tokens import UnitEncoder, default_path
+from kbspark.llm.common import held_by_worker
+from kbspark.llm.tokens import UnitEncoder, byte_characters, default_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-def byte_characters() -> list[str]:
-    """A visible character for each byte: printable Latin-1 characters stand for themselves, the others follow from U+0100."""
-    out, extra = [], 0x100
-    for b in range(256):
-        if 0x21 <= b <= 0x7E or (0xA1 <= b <= 0xFF and b != 0xAD):
-            out.append(chr(b))
-        else:
-            out.append(chr(extra))
-            extra += 1
-    return out
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
@@ -102,9 +90,8 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@functools.cache
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    return held_by_worker((path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def default_pattern() -> str:

@@ -9,17 +9,20 @@ MAX_UNIT characters are encoded as they are and not kept.
 
 from __future__ import annotations
 
-import functools
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
-from kbspark.llm.common import text_batches
+from kbspark.llm.common import held_by_worker, text_batches
 
 MAX_UNIT = 64
-CACHE_UNITS = 500_000
+CACHE_UNITS = 800_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: A word of Latin letters, and one short enough to be kept with one mark.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_MARKED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]{1,63}[.,;:!?]").fullmatch
 
 
 def default_path(name: str) -> str:
@@ -32,18 +35,25 @@ def default_path(name: str) -> str:
 class UnitEncoder:
     """Ids of whole texts by an encoder of short units.
 
-    encode_units: list of strings -> list of id lists.
+    encode_units: list of strings -> list of id lists, for any units.
+    encode_words: the same for words of Latin letters alone, maybe with a blank in front, if there is a shorter way.
     blanks_matter: False if white space never shows in the ids (it only separates words).
+    lower: the tokenizer takes lower case of each character first.
     """
 
-    def __init__(self, encode_units: Callable, vocab_size: int, blanks_matter: bool):
-        self.encode_units, self.vocab_size, self.blanks_matter = encode_units, vocab_size, blanks_matter
-        self.dtype = np.dtype("<u2") if vocab_size <= 1 << 16 else np.dtype("<u4")
-        self.after_blank: dict[str, bytes] = {}
+    def __init__(self, encode_units: Callable, vocab_size: int, blanks_matter: bool, encode_words: Callable | None = None, lower: bool = False):
+        self.encode_units, self.encode_words = encode_units, encode_words or encode_units
+        self.vocab_size, self.blanks_matter, self.lower = vocab_size, blanks_matter, lower
+        self.code = "H" if vocab_size <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
+        #: Units behind one blank, or one line feed if they begin with it.
+        self.inner: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {"": b""}
 
     def _parts(self, text: str) -> list[tuple[bool, list[str]]]:
-        """(True, words after one blank) and (False, units as they are), in order."""
+        """(False, units as they are) and (True, units for `inner`), in order."""
+        if self.lower and "Σ" not in text:  # its lower case depends on its place here
+            text = text.lower()
         flat = text.replace("\n", " ").split(" ")
         if not self.blanks_matter:
             return [(False, flat)]
@@ -51,33 +61,51 @@ class UnitEncoder:
             return []
         if flat != text.split():  # runs of white space, other white space, or white space at an end
             return [(False, _CUT.split(text))]
-        parts, mark = [], ""
-        for line in text.split("\n"):
-            words = line.split(" ")
-            parts += [(False, [mark + words[0]]), (True, words[1:])]
-            mark = "\n"
-        return parts
+        units = text.replace("\n", " \n").split(" ")
+        return [(False, units[:1]), (True, units[1:])]
+
+    def _encode(self, units: list[str], behind_blank: bool) -> list[bytes]:
+        """Ids of units as bytes."""
+        texts = [" " + u if behind_blank and u[0] != "\n" else u for u in units]
+        is_word = list(map(_LETTERS, units))
+        out = [b""] * len(units)
+        for wanted, encode in ((True, self.encode_words), (False, self.encode_units)):
+            places = [i for i, m in enumerate(is_word) if (m is not None) is wanted]
+            for i, ids in zip(places, encode([texts[i] for i in places]) if places else [], strict=True):
+                out[i] = array(self.code, ids).tobytes()
+        return out
 
     def _learn(self, parts_of: list) -> dict[str, bytes]:
-        """Encode the units that are not known yet; long ones are returned, not kept."""
-        blank, plain = set(), set()
+        """Encode the units that are not known yet; long ones are returned, not kept.
+
+        A word with one mark behind it is the word and the mark, which pre-tokenizers always part.
+        """
+        behind, plain = set(), set()
         for parts in parts_of:
-            for after_blank, units in parts:
-                known, new = (self.after_blank, blank) if after_blank else (self.plain, plain)
-                new.update([u for u in units if u not in known])
-        long = {}
-        for new, known, mark in ((blank, self.after_blank, " "), (plain, self.plain, "")):
+            for inner, units in parts:
+                (behind if inner else plain).update(units)
+        long: dict[str, bytes] = {}
+        for new, known, inner in ((behind.difference(self.inner), self.inner, True), (plain.difference(self.plain), self.plain, False)):
+            marked = [u for u in new if _MARKED(u)]
+            new.difference_update(marked)
+            new.update(u[:-1] for u in marked if u[:-1] not in known)
             units = list(new)
-            for u, ids in zip(units, self.encode_units([mark + u for u in units]) if units else [], strict=True):
-                (known if len(u) <= MAX_UNIT else long)[u if len(u) <= MAX_UNIT else mark + u] = np.array(ids, self.dtype).tobytes()
+            for u, ids in zip(units, self._encode(units, inner), strict=True):
+                if len(u) <= MAX_UNIT:
+                    known[u] = ids
+                else:
+                    long[f"{inner}{u}"] = ids
+            marks = {c: self._encode([c], False)[0] for c in {u[-1] for u in marked}}
+            for u in marked:
+                known[u] = known[u[:-1]] + marks[u[-1]]
         return long
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ids per text."""
         out = []
         for start, end in text_batches(texts):
-            if len(self.after_blank) > CACHE_UNITS:
-                self.after_blank.clear()
+            if len(self.inner) > CACHE_UNITS:
+                self.inner.clear()
             if len(self.plain) > CACHE_UNITS:
                 self.plain.clear()
                 self.plain[""] = b""
@@ -85,16 +113,31 @@ class UnitEncoder:
             long = self._learn(parts_of)
             for parts in parts_of:
                 ids = []
-                for after_blank, units in parts:
-                    known, mark = (self.after_blank, " ") if after_blank else (self.plain, "")
-                    ids += [known[u] if u in known else long[mark + u] for u in units]
+                for inner, units in parts:
+                    known = self.inner if inner else self.plain
+                    ids += [known[u] if u in known else long[f"{inner}{u}"] for u in units] if long else map(known.__getitem__, units)
                 out.append(np.frombuffer(b"".join(ids), self.dtype))
         return out
 
 
-@functools.cache
+def byte_characters() -> list[str]:
+    """A visible character for each byte: printable Latin-1 characters stand for themselves, the others follow from U+0100."""
+    out, extra = [], 0x100
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or (0xA1 <= b <= 0xFF and b != 0xAD):
+            out.append(chr(b))
+        else:
+            out.append(chr(extra))
+            extra += 1
+    return out
+
+
 def hugging_face(path: str, blanks_matter: bool) -> UnitEncoder:
-    """A tokenizers JSON file; special-token strings in a text are ordinary text. One per Python worker."""
+    """The encoder of a tokenizers JSON file of a byte-level vocabulary; special-token strings in a text are ordinary text."""
+    return held_by_worker((path, blanks_matter), lambda: _hugging_face(path, blanks_matter))
+
+
+def _hugging_face(path: str, blanks_matter: bool) -> UnitEncoder:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -106,4 +149,16 @@ def hugging_face(path: str, blanks_matter: bool) -> UnitEncoder:
     def encode_units(units):
         return [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    return UnitEncoder(encode_units, tokenizer.get_vocab_size(), blanks_matter)
+    # a word of letters is one pre-token, so the model alone encodes its byte characters
+    lower = tokenizer.encode("A", add_special_tokens=False).ids == tokenizer.encode("a", add_special_tokens=False).ids
+    mapping, tokenize = dict(enumerate(byte_characters())), tokenizer.model.tokenize
+
+    def characters(word: str) -> str:
+        if word.isascii():  # letters stand for themselves
+            return "Ġ" + word[1:] if word[0] == " " else word
+        return word.encode("utf-8").decode("latin-1").translate(mapping)
+
+    def encode_words(words):
+        return [[t.id for t in tokenize(characters(w))] for w in words]
+
+    return UnitEncoder(encode_units, tokenizer.get_vocab_size(), blanks_matter, encode_words, lower)
