@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.llm.common import stored
 from kbspark.llm.tokens import default_path, hugging_face
 
 BLOCK = 1024
@@ -50,7 +51,7 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     docs_from, tokens_from: lengths >= L. tokens_cut_to: sum of min(length, L).
     first_rank, last_rank: places of these documents in ascending order of length, from 1.
     """
-    rows = histogram.withColumns({"blk": F.floor(F.col("n_tokens") / block), "n_toks": F.col("n_tokens") * F.col("n_docs")})
+    rows = stored(histogram, "lengths").withColumns({"blk": F.floor(F.col("n_tokens") / block), "n_toks": F.col("n_tokens") * F.col("n_docs")})
     blocks = rows.groupBy("blk").agg(F.sum("n_docs").alias("d"), F.sum("n_toks").alias("t"))
     later, before = Window.orderBy(F.desc("blk")).rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
