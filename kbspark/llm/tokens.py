@@ -67,10 +67,11 @@ class UnitEncoder:
     def _encode(self, units: list[str], behind_blank: bool) -> list[bytes]:
         """Ids of units as bytes."""
         texts = [" " + u if behind_blank and u[0] != "\n" else u for u in units]
-        is_word = list(map(_LETTERS, units))
+        # the short way takes letters as they are; a text with a capital sigma still has its capitals here
+        is_word = [_LETTERS(u) is not None and not (self.lower and not u.islower()) for u in units]
         out = [b""] * len(units)
         for wanted, encode in ((True, self.encode_words), (False, self.encode_units)):
-            places = [i for i, m in enumerate(is_word) if (m is not None) is wanted]
+            places = [i for i, m in enumerate(is_word) if m is wanted]
             for i, ids in zip(places, encode([texts[i] for i in places]) if places else [], strict=True):
                 out[i] = array(self.code, ids).tobytes()
         return out

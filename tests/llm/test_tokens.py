@@ -171,3 +171,9 @@ def test_packed_documents(docs, rows, none):
         assert at <= 1024
     assert len(sequences) <= len(packing.best_fit(np.array([r["length"] for r in got]), 1024))
     assert packing.pack_documents(none).collect() == []
+
+
+def test_capitals_beside_a_capital_sigma():
+    own = hugging_face(P.path("word_bpe_49k.json"), False)
+    texts = ["Σ Hello World", "Hello World", "Λόγος ΣΟΦΙΑ. Hello, World! ÉTÉ été", "hello\nΣ HELLO"]
+    assert [x.tolist() for x in own.encode(texts)] == [word_ids(t) for t in texts]
