@@ -40,8 +40,10 @@ from kbspark.llm.common import map_columns, maybe_broadcast, stored
 WORDS = 5
 #: Link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: The chance that none of BANDS bands of ROWS rows agrees at similarity 0.85 is (1 - 0.85**5)**24 < 1e-6.
+#: The chance that none of BANDS bands of ROWS rows agrees at similarity 0.85 is (1 - 0.85**5)**24 < MISSED.
 BANDS, ROWS = 24, 5
+#: Largest chance to miss a pair at the limit; lower limits take fewer rows a band, see rows_for.
+MISSED = 1e-6
 UNIVERSE_BITS = 20
 CACHE_WORDS = 300_000
 
@@ -108,16 +110,25 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
+def rows_for(percent: int) -> int:
+    """Rows a band, the most that miss a pair at `percent` with a chance of MISSED at most."""
+    for n in range(ROWS, 0, -1):
+        if (1 - (percent / 100) ** n) ** (BANDS * ROWS // n) <= MISSED:
+            return n
+    raise ValueError(f"{percent} percent: {BANDS * ROWS} coordinates would miss pairs at so low a limit")
+
+
+def band_hashes(sig: np.ndarray, n_rows: int = ROWS) -> np.ndarray:
     """A 64-bit hash for each band; the band's number is part of it."""
-    rows = sig.astype(np.uint64).reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
+    bands = len(sig) // n_rows
+    rows = sig.astype(np.uint64).reshape(bands, n_rows)
+    out = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(n_rows):
         out = mix(out * _ODD + rows[:, k])
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def sketches(docs: DataFrame, text: str, doc_id: str, n_rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, set_digest, bands): one scan, no text leaves the task."""
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
@@ -128,7 +139,7 @@ def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 s = shingler(t)
                 out["n_shingles"].append(len(s))
                 out["set_digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                out["bands"].append(band_hashes(signature(s)).tolist() if len(s) else [])
+                out["bands"].append(band_hashes(signature(s), n_rows).tolist() if len(s) else [])
             yield out
 
     return map_columns(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scan, "doc_id long, n_shingles long, set_digest binary, bands array<long>")
@@ -256,7 +267,7 @@ def near_links(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, percent
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, kept."""
-    sketched = stored(sketches(docs, text, doc_id), "sketches")
+    sketched = stored(sketches(docs, text, doc_id, rows_for(percent)), "sketches")
     sets = sketched.where("n_shingles > 0")
     reps = sets.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     links = near_links(docs, reps.where("rep IS NOT NULL"), text, doc_id, percent)
