@@ -235,6 +235,17 @@ def write_eval_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.withColumn("context", F.array_join("context", "\u0001"))
 
 
+@query(f"""WITH {RERANKED}, k AS (SELECT query_id, string_agg(content, chr(1) ORDER BY rank) AS context FROM rr GROUP BY query_id)
+SELECT item_id AS question_id, text AS question, CASE WHEN item_id % 2 = 0 THEN item_id::VARCHAR END AS answer, coalesce(context, '') AS context FROM benchmark LEFT JOIN k ON item_id = query_id""")
+def build_eval_set_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item with the whole texts of its best hits: lists are bounded by the cut of the search; without hits they are empty."""
+    items = table(spark, sf_dir, "benchmark")
+    questions = items.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    answers = items.where("item_id % 2 = 0").select(F.col("item_id").alias("question_id"), F.col("item_id").cast("string").alias("answer"))
+    contexts = reranked(spark, sf_dir).select(F.col("query_id").alias("question_id"), "rank", "content")
+    return evaluate.build_eval_set(questions, answers, contexts).withColumn("context", F.array_join("context", "\u0001"))
+
+
 @query("""WITH v AS (SELECT source AS q, doc_id AS rank, quality AS v, toxic FROM documents JOIN labels USING (doc_id)),
 h AS (SELECT *, sum(v) OVER w AS hits, count(*) OVER w AS k FROM v WINDOW w AS (PARTITION BY q ORDER BY rank ROWS UNBOUNDED PRECEDING)),
 m AS (SELECT q, coalesce(sum(hits / k * v) / nullif(sum(v), 0), 0) AS cp, avg(v) AS ff, avg(1 - toxic) AS cr, CASE WHEN max((rank % 97 = 0)::INT) = 1 THEN 0 ELSE avg((rank % 100) / 100.0) END AS ar FROM h GROUP BY q)
