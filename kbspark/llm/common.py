@@ -91,16 +91,21 @@ def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(at, step)
 
 
-def map_columns(df: DataFrame, fn, ddl: str) -> DataFrame:
-    """mapInArrow over plain lists: `fn` gets an iterator of {column: list}, in small parts, and yields the same for `ddl`.
-
-    Lists keep 64-bit integers exact beside nulls, which pandas would turn into floats.
-    """
+def map_batches(df: DataFrame, fn, ddl: str) -> DataFrame:
+    """mapInArrow in small parts: `fn` gets an iterator of record batches and yields {column: list, numpy or Arrow array} for `ddl`."""
     schema = T.StructType.fromDDL(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        for out in fn({c: part.column(i).to_pylist() for i, c in enumerate(part.schema.names)} for b in batches for part in slices(b)):
+        for out in fn(part for b in batches for part in slices(b)):
             yield pa.RecordBatch.from_pydict({c: out[c] for c in arrow.names}, schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def map_columns(df: DataFrame, fn, ddl: str) -> DataFrame:
+    """map_batches over plain lists: `fn` gets an iterator of {column: list}.
+
+    Lists keep 64-bit integers exact beside nulls, which pandas would turn into floats.
+    """
+    return map_batches(df, lambda parts: fn({c: part.column(i).to_pylist() for i, c in enumerate(part.schema.names)} for part in parts), ddl)

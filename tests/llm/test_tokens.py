@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from kbspark.llm import bitpack, bpe, lengths, packing
 from kbspark.llm.tokens import hugging_face
 
-ODD = ["", " ", "  a  b \n\n c\t d", "don't I'll we've", "a" * 300, "\x1c! \x1d?", "123 4567 ٣٤", "😀😀 👩‍👩‍👧", "a\r\nb \r c", "ΣΑΣ ΟΔΟΣ", "<|endoftext|> hi", "\n", "a\n", " lead\ntrail "]
+ODD = ["", " ", "  a  b \n\n c\t d", "don't I'll we've", "a" * 300, "\x1c! \x1d?", "123 4567 ٣٤", "😀😀 👩‍👩‍👧", "a\r\nb \r c", "ΣΑΣ ΟΔΟΣ", "<|endoftext|> hi", "a<|endoftext|>B <|startoftext|>", "Σ<|endoftext|>Σ", "<|ENDOFTEXT|> x", "\n", "a\n", " lead\ntrail "]
 
 
 def odd_texts():
@@ -20,7 +20,6 @@ def odd_texts():
 @pytest.mark.parametrize("name,blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_units_give_the_ids_of_whole_texts(name, blanks, rows):
     tokenizer = Tokenizer.from_file(P.path(name))
-    tokenizer.encode_special_tokens = True
     texts = odd_texts() + [r[1] or "" for r in rows]
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in hugging_face(P.path(name), blanks).encode(texts)] == want
@@ -78,7 +77,6 @@ def test_random_access(tmp_path, bits):
 
 def word_ids(text):
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -103,7 +101,6 @@ def test_id_files(docs, rows, none):
 
 def test_histogram(docs, rows, none):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ns = sorted(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) for r in rows)
     sums = lengths.suffix_sums(lengths.length_histogram(docs), block=64).cache()
     assert sums.count() == len(set(ns))
@@ -121,30 +118,76 @@ def test_histogram(docs, rows, none):
     assert lengths.suffix_sums(lengths.length_histogram(none)).collect() == []
 
 
-def test_packing_of_lengths():
-    rng = np.random.default_rng(0)
-    for low, high, n in ((150, 420, 3000), (1, 300, 2000), (1, 1025, 2000), (600, 700, 100), (1, 2, 3000), (1024, 1025, 5)):
-        ls = rng.integers(low, high, n)
-        bins = packing.pack_lengths(ls)
-        assert sorted(i for b in bins for i in b) == list(range(n))
-        assert max(int(ls[b].sum()) for b in bins) <= 1024
-        assert len(bins) <= len(packing.best_fit(ls, 1024))
-    hard = rng.integers(150, 420, 3000)
-    assert len(packing.pack_lengths(hard)) < len(packing.best_fit(hard, 1024))
+def brute_best_fit(lengths, limit=1024):
+    """Best-fit decreasing by looking at every bin."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        b = max((b for b in bins if sum(b) + n <= limit), key=sum, default=None)
+        if b is None:
+            bins.append([n])
+        else:
+            b.append(n)
+    return bins
+
+
+CASES = ((150, 420, 3000), (1, 300, 700), (1, 1025, 700), (600, 700, 100), (1, 2, 1500), (1024, 1025, 5))
+
+
+@pytest.mark.parametrize("low,high,n", CASES)
+def test_packing_of_lengths(low, high, n):
+    """From one piece a bin the search alone reaches what best-fit decreasing reaches, or better."""
+    ls = np.random.default_rng(0).integers(low, high, n)
+    bins = packing.pack_lengths(ls)
+    assert sorted(i for b in bins for i in b) == list(range(n))
+    assert max(int(ls[b].sum()) for b in bins) <= 1024
+    if n < 2000:
+        assert len(bins) <= len(brute_best_fit(ls.tolist()))
+    if low in (150, 1) and high < 1025:
+        assert len(bins) == -(-int(ls.sum()) // 1024)
+
+
+def test_packing_of_nothing():
     assert packing.pack_lengths(np.zeros(0, np.int64)) == []
 
 
+def test_exchanges_do_what_moves_cannot():
+    ls = np.random.default_rng(0).integers(150, 420, 3000)
+    with_all = packing.local_search([[n] for n in ls.tolist()], 1024)
+    assert min(with_all.steps[k] for k in ("move", "one for one", "two for one", "one for two")) > 0
+
+    class MovesAlone(packing.Search):
+        def step(self):
+            return self._step("move", self.moves, {s: (s,) for s in self.bins[self.source]})
+
+    state, left = MovesAlone([[n] for n in ls.tolist()], 1024), 3000
+    while (emptied := sum(state.empty(b) for b in sorted(range(3000), key=lambda b: -state.fill[b]) if 0 < state.fill[b] < 1024)) > 0:
+        left -= emptied
+    bound = -(-int(ls.sum()) // 1024)
+    assert sum(map(bool, with_all.bins)) == bound < left - 10
+
+
 def test_each_step_raises_the_sum_of_squares():
-    ls = np.random.default_rng(1).integers(150, 420, 400)
-    state = packing.Underfull(packing.best_fit(ls, 1024), ls, 1024)
-    source, steps = int(np.argmin(state.fill)), 0
-    while state.fill[source] and steps < 50:
-        before = int((state.fill**2).sum())
-        if not state.step(source):
-            break
-        assert int((state.fill**2).sum()) > before
-        assert all(state.fill[b] == ls[items].sum() for b, items in enumerate(state.bins) if items)
-        steps += 1
+    ls = np.random.default_rng(1).integers(1, 420, 400).tolist()
+    state, seen = packing.Search([[n] for n in ls], 1024), 0
+    for source in sorted(range(400), key=lambda b: -state.fill[b]):
+        if not 0 < state.fill[source] < 1024:
+            continue
+        state.source = source
+        state._share(source, packing.Offers.drop)
+        while state.fill[source]:
+            before = sum(f * f for f in state.fill)
+            if not state.step():
+                break
+            seen += 1
+            assert sum(f * f for f in state.fill) > before
+            assert all(state.fill[b] == sum(items) <= 1024 for b, items in enumerate(state.bins))
+        state._share(source, packing.Offers.add)
+    assert seen > 300 and sorted(n for b in state.bins for n in b) == sorted(ls)
+
+
+def test_cuts():
+    document, start, length = packing.cut(np.array([1, 1024, 1025, 3000]), 1024)
+    assert list(zip(document.tolist(), start.tolist(), length.tolist(), strict=True)) == [(0, 0, 1), (1, 0, 1024), (2, 0, 1), (2, 1, 1024), (3, 0, 952), (3, 952, 1024), (3, 1976, 1024)]
 
 
 def test_packed_documents(docs, rows, none):
@@ -152,7 +195,6 @@ def test_packed_documents(docs, rows, none):
 
     got = packing.pack_documents(docs).collect()
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = []
     for doc, text, *_ in rows:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -169,7 +211,7 @@ def test_packed_documents(docs, rows, none):
             assert offset == at
             at += length
         assert at <= 1024
-    assert len(sequences) <= len(packing.best_fit(np.array([r["length"] for r in got]), 1024))
+    assert len(sequences) <= len(brute_best_fit([r["length"] for r in got]))
     assert packing.pack_documents(none).collect() == []
 
 
