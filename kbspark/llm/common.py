@@ -54,6 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def beside(docs: DataFrame, fn, text: str) -> DataFrame:
+    """`fn` over (row, text), where `row` is a struct of all columns, so that no name of `docs` can clash with one of fn's."""
+    return fn(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text")))
+
+
 def row_key(*cols):
     """Two independent 64-bit hashes of the columns, null-safe, as (k1, k2)."""
     parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]

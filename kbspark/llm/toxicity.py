@@ -1,58 +1,71 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Every word is one letter of a small alphabet: insult, threat verb, target, negation, reported
-speech, clause end, other. Five transducers read the letters of a clause side by side: counts of
-insults, whether a threat and a target stand in it, whether the harm follows a negation or an
-introduction of reported speech. Their composition is one machine; what it emits at a clause's end
-names the pattern of the clause, and a document's score is a logistic function of its weighted
-pattern counts.
-
-Lexicon and weights are learned on Spark from labelled documents outside the held-out fifth:
+speech, clause end, other. Five transducers read the letters of a clause side by side: the insults,
+whether a threat and a target stand in it, whether the harm follows a negation or an introduction of
+reported speech. Their composition is one machine. Arcs of harmful words carry weights; what the
+machine emits at a clause's end is the pattern of the clause and the sum of its arcs' weights. A
+document's score is a logistic function of the weights of its matched clauses, by pattern.
+
+All classes and weights are learned on Spark from labelled documents outside the held-out fifth:
+- labelled rows over MAX_LABELS are thinned by a hash of their id, so what is learned from is bounded;
 - near copies count once (a sketch of their word windows), else the words of one copied toxic
   document would look like insults;
-- counts by label of the families that have a word, a word beginning, or two words of one beginning
-  give the terms whose share of toxic families is surely high; at most MAX_TERMS of them, the most
-  certain ones, are kept;
-- pattern counts, each cut at CAP, are grouped, so the fit gets at most (CAP + 1)**len(PATTERNS)
-  distinct rows, whatever the number of documents. Scores use counts that are not cut.
+- a word, or a beginning of words, whose documents surely have LIFT times the odds of all to be toxic
+  is an insult; its arc's weight is the logarithm of the odds it multiplies;
+- a word whose clauses with a target surely stand in toxic documents is a threat; a word that surely
+  makes clauses with insults come from clean documents is a negation, one that does the opposite a
+  target (order decides the rest); the fixed lists of these four classes come in addition;
+- the ridge of the logistic fit is chosen by cross-validation within the training rows.
 
 Defined results: null and empty texts have no matched clause and get the base score; labels other
-than 0 and 1, and null labels, are not learned from; a document labelled twice counts twice; with
-no usable labels the lexicon is the fixed list and the weights are the fixed ones; each row is
-scored alone from its text; texts have no length limit; extra columns are kept.
+than 0 and 1, and null labels, are not learned from; a document labelled twice counts once; with
+no usable labels the insults are the fixed list and the weights are the fixed ones; each row is
+scored alone from its text; texts have no length limit; extra columns are kept, a column of the
+result's name is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import map_columns, maybe_broadcast, stored
+from kbspark.llm.common import beside, map_columns, maybe_broadcast, stored, text_batches
+from kbspark.llm.neardup import Shingler
 
-#: Fixed word lists.
+#: Fixed word lists. The insults are used only where there are no labels to learn from.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown".split()
 THREATS = "kill hurt destroy beat stab shoot murder burn punish smash".split()
 TARGETS = "you your yours he him she her they them people".split()
 NEGATIONS = "not never no nobody neither nor don't doesn't isn't aren't wasn't won't nicht kein keine ne pas jamais nunca".split()
 REPORTS = "said says say told tells called calls wrote writes claimed claims quoted reported sagte dit dijo".split()
 
+
 OTHER, END, INSULT, THREAT, TARGET, NEGATION, REPORT = range(7)
 #: Beginnings of words that are counted, besides whole words.
 STEMS = (4, 5)
-MAX_TERMS, MIN_SUPPORT, SUPPORT_SHARE, SURE = 512, 5, 0.02, 0.75
-CAP = 7
+#: Labelled rows that are learned from, about.
+MAX_LABELS = 400_000
+#: Standard errors that make a share sure, and how it must change the odds.
+SURE, LIFT = 3.3, 2.5
+#: Weight of a clause from which on its insults are heavy.
+HEAVY = 4
 PATTERNS = ("plain", "targeted", "negated", "reported", "threat")
-#: Weights without labels: base, one per pattern, all patterns together.
-FIXED_WEIGHTS = (-3.0, 1.0, 1.5, 0.3, 0.3, 2.0, 2.0)
+#: Weights without labels: base, one per pattern, all patterns together, length; weight of a harmful word.
+FIXED_WEIGHTS, FIXED_ARC = (-3.0, 0.5, 0.8, 0.1, 0.1, 1.0, 0.8, 0.0), 5
+RIDGES, FOLDS = (1e-3, 1e-2, 1e-1), 5
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-
+_CLAUSE_END = re.compile(r"[.!?;:,|]['\"’”»)]*$")
 
 # --- transducers ---
 
@@ -74,28 +87,25 @@ def _then_harm(letter: int) -> Transducer:
     return Transducer({(0, letter): 1} | harm, {0: False, 1: False, 2: True, 3: False})
 
 
-COUNT = Transducer({(s, INSULT): min(s + 1, 3) for s in range(4)}, {s: s for s in range(4)})
+INSULTED = Transducer({(0, INSULT): 1}, {0: False, 1: True})
 THREATENS = Transducer({(0, THREAT): 1}, {0: False, 1: True})
 AIMS = Transducer({(0, TARGET): 1}, {0: False, 1: True})
 DENIES, REPORTS_ON = _then_harm(NEGATION), _then_harm(REPORT)
 
 
-def clause_pattern(insults: int, threatens: bool, aims: bool, denies: bool, reports: bool) -> tuple[int, int] | None:
-    """(pattern, weight) of what the machines emit: mitigated harm, threat at a target, insult at a target, insult."""
+def clause_pattern(insults: bool, threatens: bool, aims: bool, denies: bool, reports: bool) -> int | None:
+    """The pattern of what the machines emit: mitigated harm, threat at a target, insult at a target, insult."""
     if not insults and not (threatens and aims):
         return None
-    amount = max(insults, 1)
-    if reports:
-        return PATTERNS.index("reported"), amount
-    if denies:
-        return PATTERNS.index("negated"), amount
+    if reports or denies:
+        return PATTERNS.index("reported" if reports else "negated")
     if threatens and aims:
-        return PATTERNS.index("threat"), amount
-    return PATTERNS.index("targeted" if aims else "plain"), amount
+        return PATTERNS.index("threat")
+    return PATTERNS.index("targeted" if aims else "plain")
 
 
 def compose(*machines: Transducer) -> tuple[list[list[int]], list]:
-    """The product machine over its reachable states: next[state][letter], and the pattern emitted at a clause's end."""
+    """The product machine over its reachable states: next[state][letter], and the pattern emitted at a clause's end. Weights are those of the arcs of insults and threats, whatever the state."""
     start = (0,) * len(machines)
     number, order = {start: 0}, [start]
     table = []
@@ -111,7 +121,7 @@ def compose(*machines: Transducer) -> tuple[list[list[int]], list]:
     return table, [clause_pattern(*(m.emits[s] for m, s in zip(machines, state, strict=True))) for state in order]
 
 
-NEXT, EMITS = compose(COUNT, THREATENS, AIMS, DENIES, REPORTS_ON)
+NEXT, EMITS = compose(INSULTED, THREATENS, AIMS, DENIES, REPORTS_ON)
 
 
 # --- words ---
@@ -122,78 +132,90 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
 
 
-def terms_of_text(words: set[str]) -> set[str]:
-    """Terms of the distinct words; a beginning that two words or more share counts as a term of its own, with two stars."""
-    seen: set[str] = set()
-    twice: set[str] = set()
-    for w in words:
-        for t in terms_of(w):
-            if t in seen:
-                twice.add(t + "*")
-            seen.add(t)
-    return seen | twice
+@dataclass(frozen=True)
+class Lexicon:
+    """Terms of insults with the weights of their arcs, and the words of the other classes; threats have the weight THREAT_ARC."""
+
+    insults: dict[str, int]
+    threats: dict[str, int] = field(default_factory=lambda: dict.fromkeys(THREATS, FIXED_ARC))
+    targets: frozenset = frozenset(TARGETS)
+    negations: frozenset = frozenset(NEGATIONS)
+    reports: frozenset = frozenset(REPORTS)
 
+    def letter(self, word: str) -> tuple[int, int]:
+        """(letter, weight) of a word; of the terms that fit, the heaviest."""
+        heaviest = max((self.insults[t] for t in terms_of(word) if t in self.insults), default=0)
+        if heaviest:
+            return INSULT, heaviest
+        if word in self.threats:
+            return THREAT, self.threats[word]
+        for k, words in ((NEGATION, self.negations), (REPORT, self.reports), (TARGET, self.targets)):
+            if word in words:
+                return k, 0
+        return OTHER, 0
 
-class Grammar:
-    """Letters of words under a lexicon, and pattern counts of texts.
 
-    A term with two stars makes insults of the words that begin so, in texts with two of them or more.
-    """
+#: A blank-delimited token as one number: weight * 16 + (8 if a clause ends with it) + letter. A line feed stands alone.
+LINE_FEED = 8 + OTHER
+
 
-    def __init__(self, insults: list[str]):
-        self.letter = {w: k for words, k in ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT)) for w in words}
-        self.insults = {t for t in insults if not t.endswith("**")}
-        self.shared = {t[:-1] for t in insults if t.endswith("**")}
+class Grammar:
+    """Matched clauses of texts under a lexicon. Keeps the codes of the tokens of a Python worker."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
         self.known: dict[str, int] = {}
-        self.begins: dict[str, tuple[str, str]] = {}
 
     def _code(self, token: str) -> int:
-        """Letter of a blank-delimited token, plus 8 if a clause ends with it."""
-        found = _WORD.findall(token)
-        codes = [INSULT if any(t in self.insults for t in terms_of(w)) else self.letter.get(w, OTHER) for w in found]
-        for w in found:
-            if shared := [t for t in terms_of(w) if t in self.shared]:
-                self.begins[token] = shared[-1], w
-        code = next((c for k in (INSULT, THREAT, NEGATION, REPORT, TARGET) for c in codes if c == k), OTHER)
-        return code + 8 * bool(re.search(r"[.!?;:,|]['\"’”»)]*$", token))
-
-    def patterns(self, text: str | None) -> list[int]:
-        """Number of harmful words by clause pattern."""
-        counts = [0] * len(PATTERNS)
-        if len(self.known) > 200_000:
+        """The harmful word of a token if it has one, else the first that is no other."""
+        if token == "\n":
+            return LINE_FEED
+        found = [self.lexicon.letter(w) for w in _WORD.findall(token)]
+        letter, weight = min((x for x in found if x[0] != OTHER), key=lambda x: (x[0] not in (INSULT, THREAT), -x[1]), default=(OTHER, 0))
+        return 16 * weight + 8 * (_CLAUSE_END.search(token) is not None) + letter
+
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(codes of all tokens, the end of each text in them, the tokens): Arrow cuts and numbers the tokens, Python looks at each distinct one once."""
+        if len(self.known) > 400_000:
             self.known.clear()
-            self.begins.clear()
-        known, lower = self.known, (text or "").lower()
-        distinct = set(lower.split())
-        for t in distinct:
-            if t not in known:
-                known[t] = self._code(t)
-        families: dict[str, set[str]] = {}
-        some = [t for t in distinct if t in self.begins]
-        for t in some:
-            stem, word = self.begins[t]
-            families.setdefault(stem, set()).add(word)
-        raised = {t: INSULT + (known[t] & 8) for t in some if len(families[self.begins[t][0]]) > 1}
-        for line in lower.split("\n"):
-            tokens = line.split()
-            codes = bytes([raised.get(t, known[t]) for t in tokens] if raised else [known[t] for t in tokens])
-            if INSULT not in codes and INSULT + 8 not in codes and THREAT not in codes and THREAT + 8 not in codes:
-                continue
-            state = 0
-            for code in codes + b"\x08":
+        split = pc.split_pattern(pa.array([t.lower().replace("\n", " \n ") for t in texts], pa.string()), " ")
+        coded = split.values.dictionary_encode()
+        tokens, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        got = list(map(known.get, tokens))
+        for i in [i for i, x in enumerate(got) if x is None]:
+            got[i] = known[tokens[i]] = self._code(tokens[i])
+        return np.array(got or [0], np.int64)[coded.indices.to_numpy()], split.offsets.to_numpy()[1:], split.values
+
+    def clauses(self, texts: list[str], wanted: tuple[int, ...] = (INSULT, THREAT)) -> Iterator[tuple[int, list[int], int, int]]:
+        """(text, codes without others, first token, token behind the last) of every clause that has a letter of `wanted`."""
+        for start, end in text_batches(texts, 4_000_000):
+            codes, ends, self.tokens = self.codes(texts[start:end])
+            harm = np.flatnonzero(np.isin(codes & 7, wanted))
+            closes = np.union1d(np.flatnonzero(codes & 8) + 1, ends)
+            for k in np.unique(np.searchsorted(closes, harm, side="right")).tolist():
+                a, b = int(closes[k - 1]) if k else 0, int(closes[k])
+                part = codes[a:b]
+                yield start + int(np.searchsorted(ends, a, side="right")), part[part & 7 != OTHER].tolist(), a, b
+
+    def weights(self, texts: list[str]) -> np.ndarray:
+        """A row per text: the sum of the weights of its matched clauses by pattern, and the number of its words by powers of two."""
+        out = np.zeros((len(texts), len(PATTERNS) + 1), np.int64)
+        out[:, -1] = [(t.count(" ") + 1).bit_length() for t in texts]
+        for text, codes, *_ in self.clauses(texts):
+            state = weight = 0
+            for code in codes:
                 state = NEXT[state][code & 7]
-                if code & 8:
-                    if EMITS[state]:
-                        pattern, amount = EMITS[state]
-                        counts[pattern] += amount
-                    state = 0
-        return counts
+                weight += code >> 4
+            if EMITS[state] is not None:
+                out[text, EMITS[state]] += weight
+        return out
 
 
 def inputs_of(counts: np.ndarray) -> np.ndarray:
-    """Rows of pattern counts -> inputs of the logistic function."""
-    counts = np.asarray(counts, float).reshape(-1, len(PATTERNS))
-    return np.column_stack([np.ones(len(counts)), np.log1p(counts), np.log1p(counts.sum(axis=1))])
+    """Rows of Grammar.weights -> inputs of the logistic function."""
+    counts = np.asarray(counts, float).reshape(-1, len(PATTERNS) + 1)
+    harm = counts[:, :-1]
+    return np.column_stack([np.ones(len(counts)), np.log1p(harm), np.log1p(harm.sum(axis=1)), counts[:, -1] / 4])
 
 
 def probability(counts: np.ndarray, weights) -> np.ndarray:
@@ -205,61 +227,87 @@ def probability(counts: np.ndarray, weights) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    insults: tuple[str, ...]
+    lexicon: Lexicon
     weights: tuple[float, ...]
 
 
-def sketch_of(words: list[str]) -> int:
-    """Smallest hash of three-word windows: near copies mostly share it."""
-    import xxhash
+FIXED = Model(Lexicon(dict.fromkeys(INSULTS, FIXED_ARC)), FIXED_WEIGHTS)
+
+
+def surely(pos, n, z: float = SURE):
+    """Lower end of the Wilson interval of the share pos / n; numbers or columns."""
+    p = pos / n
+    return (p + z * z / (2 * n) - z * ((p * (1 - p) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)
 
-    if len(words) < 3:
-        return xxhash.xxh3_64_intdigest(" ".join(words)) >> 1
-    return min(xxhash.xxh3_64_intdigest(f"{a} {b} {c}") for a, b, c in zip(words, words[1:], words[2:], strict=False)) >> 1
 
+def lifted(share, by: float = LIFT):
+    """A share whose odds are changed by a factor; numbers or columns."""
+    return by * share / (1 + (by - 1) * share)
 
-def surely(pos: int, n: int) -> float:
-    """Lower end of the 95 % Wilson interval of a share."""
-    p, z2 = pos / n, 1.96**2
-    return (p + z2 / (2 * n) - 1.96 * ((p * (1 - p) + z2 / (4 * n)) / n) ** 0.5) / (1 + z2 / n)
 
+def counted(train: DataFrame, words_of, label: str) -> DataFrame:
+    """(term, pos, neg): toxic and other documents (or clauses) that hold each term; words_of: texts -> iterator of (text, terms). Tasks add up before the shuffle."""
 
-def family_counts(docs: DataFrame, into: str, wanted: set[str] | None = None) -> DataFrame:
-    """(term, into): families of near copies that have each term, of `wanted` terms if given."""
+    def count(batches: Iterator[dict]) -> Iterator[dict]:
+        held: tuple = (Counter(), Counter())
+
+        def flush() -> dict:
+            terms = list(held[0] | held[1])
+            out = {"term": terms, "pos": [held[1][t] for t in terms], "neg": [held[0][t] for t in terms]}
+            held[0].clear()
+            held[1].clear()
+            return out
 
-    def words(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            out = {"sketch": [], "terms": []}
-            for t in batch["text"]:
-                found = _WORD.findall((t or "").lower())
-                terms = terms_of_text(set(found))
-                out["sketch"].append(sketch_of(found))
-                out["terms"].append(sorted(terms if wanted is None else terms & wanted))
-            yield out
+            for text, terms in words_of([t or "" for t in batch["text"]]):
+                held[batch[label][text]].update(terms)
+            if len(held[0]) + len(held[1]) > 500_000:
+                yield flush()
+        yield flush()
+
+    return map_columns(train.select("text", label), count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
 
-    pairs = map_columns(docs.select("text"), words, "sketch long, terms array<string>").select("sketch", F.explode("terms").alias("term"))
-    return pairs.distinct().groupBy("term").agg(F.count("*").alias(into))
+def document_terms(texts: list[str]) -> Iterator[tuple[int, set[str]]]:
+    for i, t in enumerate(texts):
+        yield i, {x for w in set(_WORD.findall(t.lower())) for x in terms_of(w)}
 
 
-def learn_terms(train: DataFrame) -> list[str]:
-    """Terms whose documents are surely toxic, from (text, toxic).
+def learn_insults(train: DataFrame, share: float) -> dict[str, int]:
+    """Terms whose documents are surely toxic at LIFT times the odds of all, with the weights of their arcs."""
+    n = F.col("pos") + F.col("neg")
+    found = counted(train, document_terms, "toxic").where(surely(F.col("pos"), n) >= lifted(share)).collect()
+    odds = {r["term"]: (r["pos"] + 0.5) / (r["neg"] + 0.5) * (1 - share) / share for r in found}
+    return {t: max(1, round(float(np.log(x)))) for t, x in sorted(odds.items())}
 
-    Candidates are terms in SUPPORT_SHARE of the toxic families at least, so there are at most the
-    mean number of terms of a document divided by that share, whatever the size of the corpus; the
-    other documents are counted for these alone.
+
+def learn_classes(train: DataFrame, insults: dict[str, int], share: float) -> Lexicon:
+    """The other classes: by the words of clauses with insults, and of clauses with a target and no insult.
+
+    Clauses with light and heavy insults are looked at apart, else the words that stand with heavy ones,
+    such as those of one language, would seem to add something.
     """
-    toxic, others = train.where("toxic = 1"), train.where("toxic = 0")
+    base = Lexicon(insults)
 
-    def sketches(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            yield {"sketch": [sketch_of(_WORD.findall((t or "").lower())) for t in batch["text"]]}
+    def words(wanted: int, never: tuple[int, ...]):
+        def of(texts: list[str]) -> Iterator[tuple[int, set[str]]]:
+            grammar = Grammar(base)
+            for text, codes, a, b in grammar.clauses(texts, (wanted,)):
+                if not any(c & 7 in never for c in codes):
+                    kind = "heavy " if sum(c >> 4 for c in codes) >= HEAVY else "light "
+                    yield text, {kind + w for token in grammar.tokens[a:b].to_pylist() for w in _WORD.findall(token) if base.letter(w)[0] in (OTHER, THREAT)} | {kind}
 
-    families = map_columns(toxic.select("text"), sketches, "sketch long").agg(F.approx_count_distinct("sketch")).first()[0]
-    counted = family_counts(toxic, "pos").where(F.col("pos") >= max(MIN_SUPPORT, SUPPORT_SHARE * families))
-    pos = {r["term"]: r["pos"] for r in counted.collect()}
-    neg = {r["term"]: r["neg"] for r in family_counts(others, "neg", set(pos)).collect()}
-    sure = {t: surely(n, n + neg.get(t, 0)) for t, n in pos.items()}
-    return sorted((t for t in pos if sure[t] >= SURE), key=lambda t: (-sure[t], -pos[t], t))[:MAX_TERMS]
+        return of
+
+    n, pos = F.col("pos") + F.col("neg"), F.col("pos")
+    near = stored(counted(train, words(INSULT, ()), "toxic").withColumn("kind", F.substring_index("term", " ", 1)), "toxic-clauses")
+    whole = near.where(F.endswith("term", F.lit(" "))).select("kind", (pos / n).alias("usual"))
+    sure = near.where(~F.endswith("term", F.lit(" "))).join(F.broadcast(whole), "kind").where("usual > 0 AND usual < 1")  # two rows
+    fewer, more = (1 - surely(n - pos, n)) <= lifted(F.col("usual"), 1 / LIFT), surely(pos, n) >= lifted(F.col("usual"))
+    found = sure.where(fewer | more).select(F.substring_index("term", " ", -1).alias("word"), fewer.alias("fewer")).collect()
+    alone = counted(train, words(TARGET, (INSULT,)), "toxic").where(F.startswith("term", F.lit("light ")) & (F.length("term") > 6) & (surely(pos, n) >= lifted(share))).collect()
+    threats = {r["term"][6:]: max(1, round(float(np.log((r["pos"] + 0.5) / (r["neg"] + 0.5) * (1 - share) / share)))) for r in alone}
+    return Lexicon(insults, base.threats | threats, base.targets | {r["word"] for r in found if not r["fewer"]}, base.negations | {r["word"] for r in found if r["fewer"]})
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -276,14 +324,29 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-
     return w
 
 
-def pattern_counts(insults: list[str]):
-    """A column function: pattern counts of a text."""
+def cross_validated(x: np.ndarray, y: np.ndarray, n: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Weights with the ridge of least loss on the folds left out."""
+
+    def loss(ridge: float) -> float:
+        total = 0.0
+        for k in range(FOLDS):
+            own, other = fold != k, fold == k
+            if other.any() and own.any():
+                p = 1 / (1 + np.exp(-np.clip(x[other] @ fit_logistic(x[own], y[own], n[own], ridge), -30, 30)))
+                total -= float((y[other] * np.log(p) + (n[other] - y[other]) * np.log1p(-p)).sum())
+        return total
+
+    return fit_logistic(x, y, n, min(RIDGES, key=loss))
+
 
-    @F.pandas_udf("array<int>")
+def clause_weights(lexicon: Lexicon):
+    """A column function: Grammar.weights of a text."""
+
+    @F.pandas_udf("array<long>")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        grammar = Grammar(insults)
+        grammar = Grammar(lexicon)
         for batch in texts:
-            yield pd.Series([np.array(grammar.patterns(t), np.int32) for t in batch], dtype=object)
+            yield pd.Series(list(grammar.weights([t or "" for t in batch])), dtype=object)
 
     return count
 
@@ -292,23 +355,46 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Model:
+def training_rows(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, max_labels: int) -> DataFrame:
+    """(id, text, toxic): a labelled document of each family of near copies, outside the held-out fifth; of a document labelled twice the higher label."""
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic")).where(~held_out("id"))
+    known = stored(known.groupBy("id").agg(F.max("toxic").alias("toxic")), "toxic-labels")
+    n = known.count()
+    if n > max_labels:
+        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(max_labels / n * (1 << 30)))
+    known = maybe_broadcast(known, min(n, max_labels), 32)
+
+    def sketches(batches: Iterator[dict]) -> Iterator[dict]:
+        shingler = Shingler(3)
+        for batch in batches:
+            sets = [shingler((t or "").lower()) for t in batch["text"]]
+            yield batch | {"sketch": [int(s[0]) >> 1 if len(s) else None for s in sets]}
+
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known, "id").select("id", "text", "toxic")
+    train = stored(map_columns(rows, sketches, f"id {docs.schema[doc_id].dataType.simpleString()}, text string, toxic int, sketch long"), "toxic-train")
+    # the smallest id of a family stands for it; it is toxic if one of them is
+    heads = train.groupBy("sketch").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")).select("id", "toxic")
+    return stored(train.select("id", "text").join(maybe_broadcast(heads, min(n, max_labels), 32), "id").dropDuplicates(["id"]), "toxic-families")
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_labels: int = MAX_LABELS) -> Model:
     """Learn from labelled documents; held-out ids are left out."""
-    known = stored(labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__toxic")).where(~held_out("__id")), "toxic-labels")
-    known = maybe_broadcast(known, known.count(), 32)
-    own = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text"))
-    train = stored(own.join(known, F.col("__doc") == F.col("__id")).select("text", F.col("__toxic").alias("toxic")), "toxic-train")
-    seen = {r["toxic"] for r in train.select("toxic").distinct().collect()}
-    if seen != {0, 1}:
-        return Model(tuple(INSULTS), FIXED_WEIGHTS)
-    insults = learn_terms(train) or INSULTS
+    train = training_rows(docs, labels, text, doc_id, label, max_labels)
+    share, n = train.agg(F.avg("toxic"), F.count("*")).first()
+    if not n or share in (0, 1):
+        return FIXED
+    insults = learn_insults(train, share)
+    if not insults:
+        return FIXED
+    lexicon = learn_classes(train, insults, share)
     grouped = (
-        train.select("toxic", F.transform(pattern_counts(insults)("text"), lambda c: F.least(c, F.lit(CAP))).alias("counts"))
-        .groupBy("counts").agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).collect()
+        train.select("toxic", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5 * FOLDS)).alias("fold"), clause_weights(lexicon)("text").alias("counts"))
+        .groupBy("counts", F.floor(F.col("fold") / 5).alias("fold")).agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).collect()
     )
-    x = inputs_of(np.array([r["counts"] for r in grouped]))
-    weights = fit_logistic(x, np.array([r["y"] for r in grouped], float), np.array([r["n"] for r in grouped], float))
-    return Model(tuple(insults), tuple(float(w) for w in weights))
+    grouped.sort(key=lambda r: (r["counts"], r["fold"]))
+    y, n, fold = (np.array([r[c] for r in grouped], float) for c in ("y", "n", "fold"))
+    weights = cross_validated(inputs_of(np.array([r["counts"] for r in grouped])), y, n, fold)
+    return Model(lexicon, tuple(float(w) for w in weights))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
@@ -316,13 +402,13 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", into: str
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        grammar = Grammar(list(model.insults))
+        grammar = Grammar(model.lexicon)
         for batch in texts:
-            yield pd.Series(probability(np.array([grammar.patterns(t) for t in batch]), model.weights), dtype="float64")
+            yield pd.Series(probability(grammar.weights([t or "" for t in batch]), model.weights), dtype="float64")
 
     return docs.withColumn(into, score(F.col(text)))
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows that score under 0.5."""
-    return score_toxicity(docs, model, text, "__score").where("__score < 0.5").drop("__score")
+    """The rows that score under 0.5, with the columns of `docs`."""
+    return beside(docs, lambda rows: score_toxicity(rows, model), text).where("score < 0.5").select("row.*")

@@ -8,39 +8,75 @@ from conftest_words import prose
 from kbspark.llm import quality, toxicity
 
 
+def grammar():
+    return toxicity.Grammar(toxicity.FIXED.lexicon)
+
+
 def test_grammar_by_clause():
-    g = toxicity.Grammar(toxicity.INSULTS)
-    at = dict(zip(toxicity.PATTERNS, range(5), strict=True))
+    g = grammar()
 
     def one(text):
-        return {p: n for p, k in at.items() if (n := g.patterns(text)[k])}
-
-    assert one("the idiot sat") == {"plain": 1}
-    assert one("you are an idiot, moron!") == {"targeted": 1, "plain": 1}
-    assert one("you idiot moron") == {"targeted": 2}
-    assert one("he is not an idiot") == {"negated": 1}
-    assert one("idiot, not that") == {"plain": 1}
-    assert one("she said the man is a loser") == {"reported": 1}
-    assert one("they will kill you") == {"threat": 1}
+        counts = g.weights([text])[0].tolist()
+        return {p: n for p, n in zip(toxicity.PATTERNS, counts[:-1], strict=True) if n}
+
+    assert one("the idiot sat") == {"plain": 5}
+    assert one("you are an idiot, moron!") == {"targeted": 5, "plain": 5}
+    assert one("you idiot moron") == {"targeted": 10}
+    assert one("he is not an idiot") == {"negated": 5}
+    assert one("idiot, not that") == {"plain": 5}
+    assert one("she said the man is a loser") == {"reported": 5}
+    assert one("they will kill you") == {"threat": 5}
     assert one("kill the lights") == {}
-    assert one("not here. idiot") == {"plain": 1}
+    assert one("not here. idiot") == {"plain": 5}
+    assert one("not here\nidiot") == {"plain": 5}
     assert one("a clean text\nwith two lines") == one("") == {}
-    assert g.patterns(None) == [0] * 5
-    assert one("«IDIOT»") == {"plain": 1}
-
-
-def test_shared_beginnings():
-    """Words of a listed beginning are insults only where two different ones occur."""
-    assert {"achl*", "achl**", "achlu*", "achlung", "achlheit"} <= toxicity.terms_of_text({"achlung", "achlheit"})
-    assert "achl**" not in toxicity.terms_of_text({"achlung", "other"})
-    g = toxicity.Grammar(["achl**"])
-    assert g.patterns("ein achlung, achlung.") == [0] * 5
-    assert g.patterns("ein achlung\nund achlheit.") == [2, 0, 0, 0, 0]
-    assert g.patterns("ein achlung.") == [0] * 5
+    assert one("«IDIOT»") == {"plain": 5}
+    assert g.weights([]).shape == (0, 6)
+
+
+def test_arcs_have_weights():
+    g = toxicity.Grammar(toxicity.Lexicon({"abcd*": 2, "abcdef": 6, "xyz": 3}))
+    assert g.weights(["abcdx abcdef. xyz"])[0].tolist() == [11, 0, 0, 0, 0, 2]
+
+
+def brute_weights(text, lexicon):
+    """Clauses cut by hand, and their patterns by plain rules."""
+    out = dict.fromkeys(toxicity.PATTERNS, 0)
+    for line in text.lower().split("\n"):
+        clause = []
+        for token in [*line.split(" "), "."]:
+            of_token = []
+            for w in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", token):
+                terms = [w] + [w[:n] + "*" for n in (4, 5) if len(w) >= n]
+                weight = max([lexicon.insults.get(t, 0) for t in terms])
+                of_token.append(("insult", weight) if weight else ("threat", lexicon.threats[w]) if w in lexicon.threats else ("not", 0) if w in lexicon.negations else ("report", 0) if w in lexicon.reports else ("target", 0) if w in lexicon.targets else None)
+            of_token = [x for x in of_token if x]
+            harm = [x for x in of_token if x[0] in ("insult", "threat")]
+            clause += [max(harm, key=lambda x: x[1])] if harm else of_token[:1]
+            if re.search("[.!?;:,|]['\"’”»)]*$", token):
+                kinds = [k for k, _ in clause]
+                first = min([kinds.index(k) for k in ("insult", "threat") if k in kinds], default=len(kinds))
+                if "insult" in kinds or ("threat" in kinds and "target" in kinds):
+                    before = kinds[:first]
+                    pattern = "reported" if "report" in before else "negated" if "not" in before else "threat" if "threat" in kinds and "target" in kinds else "targeted" if "target" in kinds else "plain"
+                    out[pattern] += sum(w for _, w in clause)
+                clause = []
+    return list(out.values())
+
+
+def test_clauses_against_brute_force(rows):
+    rng = random.Random(5)
+    lexicon = toxicity.Lexicon({"idiot": 7, "stup*": 3, "moron": 2})
+    words = "idiot stupidly moron you he not never said told kill burn the ein ai ß x' don't a|b (moron) “idiot” kill-you".split()
+    texts = [r[1] or "" for r in rows if len(r[1] or "") < 50_000]
+    texts += ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\n", ", ", ". ", "!) "]) for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    got = toxicity.Grammar(lexicon).weights(texts)
+    assert got[:, :-1].tolist() == [brute_weights(t, lexicon) for t in texts]
+    assert (got[:, :-1] > 0).any(axis=0).all()
 
 
 def test_composition_follows_the_machines():
-    machines = (toxicity.COUNT, toxicity.THREATENS, toxicity.AIMS, toxicity.DENIES, toxicity.REPORTS_ON)
+    machines = (toxicity.INSULTED, toxicity.THREATENS, toxicity.AIMS, toxicity.DENIES, toxicity.REPORTS_ON)
     rng = random.Random(0)
     for _ in range(500):
         letters = [rng.randrange(7) for _ in range(12)]
@@ -51,6 +87,32 @@ def test_composition_follows_the_machines():
         assert toxicity.EMITS[one] == toxicity.clause_pattern(*(m.emits[s] for m, s in zip(machines, states, strict=True)))
 
 
+def labelled_clauses(spark, n=4000):
+    """Documents whose label hangs on clauses: made-up insults, excused by a made-up word before them; a made-up threat at a target."""
+    rng = random.Random(11)
+    docs, labels = [], []
+    for i in range(n):
+        words, kind = prose(i, rng.randint(40, 120)).split(" "), rng.randrange(10)
+        clause = {0: ". you grobian", 1: ". grobian", 2: ". vequenno you grobian", 3: ". you zerquash", 4: ". zerquash"}.get(kind, ". you sat") + "."
+        for _ in range(2):
+            words.insert(rng.randrange(len(words)), clause)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(kind in (0, 1, 3))))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), dict(labels)
+
+
+def test_the_grammar_beats_the_word_count(spark):
+    """Classes of all kinds are learned; held-out accuracy with the grammar, and with the number of harmful words alone."""
+    docs, labels, truth = labelled_clauses(spark)
+    model = toxicity.fit(docs, labels)
+    assert "grobian" in model.lexicon.insults and "vequenno" in model.lexicon.negations and "zerquash" in model.lexicon.threats
+    held = [r for r in toxicity.score_toxicity(docs.where(toxicity.held_out()), model).collect()]
+    right = sum((r["score"] >= 0.5) == truth[r["doc_id"]] for r in held) / len(held)
+    count = [len(re.findall("grobian|zerquash", r["text"])) for r in held]
+    best = max(sum((c >= k) == truth[r["doc_id"]] for c, r in zip(count, held, strict=True)) / len(held) for k in range(4))
+    assert len(held) > 500 and right > 0.97 > 0.9 > best
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(3)
@@ -72,7 +134,7 @@ def labelled(spark):
 def test_held_out_accuracy(labelled):
     docs, labels, truth = labelled
     model = toxicity.fit(docs, labels)
-    assert {"idiot", "grobian", "vequ*"} <= set(model.insults)
+    assert {"idiot", "grobian", "vequ*"} <= set(model.lexicon.insults)
     got = toxicity.score_toxicity(docs.select("doc_id", "text", toxicity.held_out().alias("held_out")), model).collect()
     assert len(got) == docs.count()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in got)
@@ -95,16 +157,19 @@ def test_copies_of_a_toxic_document_teach_no_words(spark):
     docs = [(i, text.replace(" the ", f" the{i} ", 1)) for i in range(300)] + [(1000 + i, prose(i, 100) + (" idiot you moron" if i % 3 == 0 else "")) for i in range(300)]
     labels = [(i, 1) for i in range(300)] + [(1000 + i, int(i % 3 == 0)) for i in range(300)]
     model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert {"idiot", "moron"} <= set(model.insults)
-    assert not {w for w in prose(77, 150).split() if w in model.insults}
+    assert {"idiot", "moron"} <= set(model.lexicon.insults)
+    assert not {w for w in prose(77, 150).split() if w in model.lexicon.insults}
 
 
 def test_without_labels(spark, docs, none):
     model = toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert model.insults == tuple(toxicity.INSULTS)
+    assert model == toxicity.FIXED
     assert toxicity.score_toxicity(none, model).collect() == []
-    kept = toxicity.drop_toxic(docs, model)
-    assert kept.columns == docs.columns and kept.count() == docs.count()
+    for name in ("score", "row", "text_", "id", "toxic"):  # the operator's own names
+        more = docs.withColumn(name, docs.doc_id)
+        kept = toxicity.drop_toxic(more, model)
+        assert kept.columns == more.columns and kept.count() == docs.count()
+    assert {r["doc_id"] for r in kept.collect()} == {r["score"] for r in toxicity.drop_toxic(docs.withColumn("score", docs.doc_id), model).collect()}
 
 
 def brute_quality(text):
