@@ -8,8 +8,9 @@ Layout (little-endian): magic 'TIDS', u16 version, u16 bits, u32 ids in a block;
 offset of each block and of their end; u64 number of blocks, of ids, and offset of the table.
 
 Documents are range-partitioned by id, so that files, and the documents in them, are in ascending
-order; each task writes one file under a name of its own, and only files named in the committed
-manifest count, so repeated or lost tasks leave no wrong data.
+order; each task writes files of about ROLL_IDS ids under names of its own, and only files named in
+the committed index count, so repeated or lost tasks leave no wrong data. The index has a row per
+document; where a file begins in the whole order follows from the ids per file, a small table.
 
 Defined results: null and empty texts hold the end id alone; a null id sorts first; repeated rows
 are written each time (ties are in order of text); an empty table writes no file.
@@ -26,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import file_system, map_columns, scratch_path, stored
+from kbspark.llm.common import file_system, map_columns, maybe_broadcast, scratch_path, stored
 from kbspark.llm.tokens import default_path, hugging_face
 
 MAGIC, VERSION, BLOCK_IDS = b"TIDS", 1, 1 << 16
 HEADER = np.dtype([("magic", "S4"), ("version", "<u2"), ("bits", "<u2"), ("block_ids", "<u4")])
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
+ROLL_IDS = 1 << 28
 
 
 def bits_for(vocab_size: int) -> int:
@@ -119,65 +121,72 @@ class IdReader:
         return self._ids(first, last)[start - first * self.block_ids :][:count]
 
 
-MANIFEST = "part int, path string, doc_ids array<long>, at array<long>, n array<long>, n_ids long"
+INDEX = "part int, file int, path string, doc_id long, at long, n long"
 
 
 def write_ids(
     docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_id",
-    vocabulary: str | None = None, end_id: int = END_ID, blanks_matter: bool = False,
+    vocabulary: str | None = None, end_id: int = END_ID, blanks_matter: bool = False, roll_ids: int = ROLL_IDS,
 ) -> DataFrame:
-    """Encode, write, and return the committed manifest, a row per file.
+    """Encode, write, and return the committed index: a row per document with its file and place there.
 
     blanks_matter: whether the vocabulary's ids show white space (the default one drops it).
     """
     vocabulary = vocabulary or default_path(VOCABULARY)
 
     def write(batches: Iterator[dict]) -> Iterator[dict]:
-        writer, doc_ids, at, n, path = None, [], [], [], ""
+        writer, path, part, file = None, "", TaskContext.get().partitionId(), -1
         encoder = hugging_face(vocabulary, blanks_matter)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            if writer is None:
-                path = f"{folder}/ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tids"
-                fs, place = file_system(path)
-                fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                writer = IdWriter(fs.open_output_stream(place), bits_for(encoder.vocab_size))
-            doc_ids += batch["doc_id"]
-            for ids in encoder.encode([t or "" for t in batch["text"]]):
-                at.append(writer.n)
-                n.append(len(ids) + 1)
+            out: dict = {c.split()[0]: [] for c in INDEX.split(", ")}
+            for doc, ids in zip(batch["doc_id"], encoder.encode([t or "" for t in batch["text"]]), strict=True):
+                if writer is not None and writer.n >= roll_ids:
+                    writer.close()
+                    writer = None
+                if writer is None:
+                    file += 1
+                    path = f"{folder}/ids-{part:06d}-{file:06d}-{uuid.uuid4().hex}.tids"
+                    fs, place = file_system(path)
+                    fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                    writer = IdWriter(fs.open_output_stream(place), bits_for(encoder.vocab_size))
+                for c, v in zip(out, (part, file, path, doc, writer.n, len(ids) + 1), strict=True):
+                    out[c].append(v)
                 writer.add(ids)
                 writer.add(end)
+            yield out
         if writer is not None:
             writer.close()
-            yield {"part": [TaskContext.get().partitionId()], "path": [path], "doc_ids": [doc_ids], "at": [at], "n": [n], "n_ids": [writer.n]}
 
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(map_columns(ordered, write, MANIFEST), "ids-manifest")
+    return stored(map_columns(ordered, write, INDEX), "ids-index")
 
 
-def read_ids(manifest: DataFrame) -> DataFrame:
+def read_ids(index: DataFrame) -> DataFrame:
     """Per document: doc_id, start (ids before it in the whole order), n_tokens, ids_crc32, from the files."""
 
     def read(batches: Iterator[dict]) -> Iterator[dict]:
+        reader, opened = None, None
         for batch in batches:
-            for path, base, doc_ids, at, n in zip(*(batch[c] for c in ("path", "base", "doc_ids", "at", "n")), strict=True):
-                fs, place = file_system(path)
-                with fs.open_input_file(place) as source:
-                    reader, i = IdReader(source), 0
-                    while i < len(n):  # runs of documents of about a million ids
-                        to = i + 1
-                        while to < len(n) and at[to] + n[to] - at[i] <= 1 << 20:
-                            to += 1
-                        ids = reader.read(at[i], at[to - 1] + n[to - 1] - at[i]).astype("<u4")
-                        crcs = [zlib.crc32(ids[a - at[i] : a - at[i] + k].tobytes()) for a, k in zip(at[i:to], n[i:to], strict=True)]
-                        yield {"doc_id": doc_ids[i:to], "start": [base + a for a in at[i:to]], "n_tokens": n[i:to], "ids_crc32": crcs}
-                        i = to
-
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    files = manifest.count()
-    placed = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("part", "n_ids")
-    return map_columns(placed.repartition(max(1, min(files, 10_000))), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            path, base, doc_ids, at, n = (batch[c] for c in ("path", "base", "doc_id", "at", "n"))
+            i = 0
+            while i < len(n):  # runs of documents of about a million ids that stand one after another in a file
+                to = i + 1
+                while to < len(n) and path[to] == path[i] and at[to] == at[to - 1] + n[to - 1] and at[to] + n[to] - at[i] <= 1 << 20:
+                    to += 1
+                if path[i] != opened:
+                    fs, place = file_system(path[i])
+                    reader, opened = IdReader(fs.open_input_file(place)), path[i]
+                ids = memoryview(reader.read(at[i], at[to - 1] + n[to - 1] - at[i]).astype("<u4")).cast("B")
+                crcs = [zlib.crc32(ids[4 * (a - at[i]) : 4 * (a - at[i] + k)]) for a, k in zip(at[i:to], n[i:to], strict=True)]
+                yield {"doc_id": doc_ids[i:to], "start": [b + a for b, a in zip(base[i:to], at[i:to], strict=True)], "n_tokens": n[i:to], "ids_crc32": crcs}
+                i = to
+
+    files = index.groupBy("part", "file").agg(F.sum("n").alias("ids"))
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file of ROLL_IDS ids
+    bases = stored(files.select("part", "file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base")), "ids-bases")
+    placed = index.join(maybe_broadcast(bases, bases.count(), 16), ["part", "file"])
+    return map_columns(placed, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:

@@ -19,6 +19,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests) a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -50,6 +52,24 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int =
     return F.broadcast(df) if rows * row_bytes <= limit_bytes else df
 
 
+#: Keys of more than 1 / HOT of a join's rows are joined by broadcast: HOT rows at most.
+HOT = 1024
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot: int = HOT) -> DataFrame:
+    """Inner join where one key may hold most rows of `left`; `right` has one row per key. `left` is read three times, so it should be a stored table.
+
+    A key of more than 1 / hot of the rows, of which there are fewer than `hot`, goes by broadcast, so its
+    rows stay where they are; the others are shuffled.
+    """
+    most = max(left.count() // hot, 1)
+    heavy = stored(left.groupBy(*on).count().where(F.col("count") > most).select(*on), "hot")
+    if heavy.isEmpty():
+        return left.join(right, on)
+    few = stored(right.join(F.broadcast(heavy), on, "left_semi"), "hot-rows")
+    return left.join(F.broadcast(heavy), on, "left_anti").join(right, on).unionByName(left.join(F.broadcast(few), on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,17 +2,19 @@
 
 A payload is cut where a rolling gear hash of the last 64 bytes hits a mask, within smallest and
 largest chunk sizes, so equal passages give equal chunks wherever they stand. Chunk digests are
-deduplicated by Spark joins. A media row stores the samples of the chunks that no other payload
-has; a chunk that several payloads have is stored once in the chunk table. The ordered chunk list
-of a media rebuilds it, and every chunk is verified by its digest when it is read back.
+deduplicated by Spark joins: a chunk that several payloads have is stored once, as a chunk of its
+own; the other chunks stand in the form of their media. The ordered chunk list of a media rebuilds
+it, and every chunk is verified by its digest when it is read back.
 
 Samples are unsigned 8-bit: a text's UTF-8 bytes, padded with 0 to a positive multiple of 64. The
-stored form of a media is its header (magic 'CDC1', u32 chunks), then for each chunk a 16-byte
-digest, a u32 length and the samples; its size and sha256 are taken from what was read back.
+stored form of a media is one binary value (little-endian): magic 'CDC1', u32 chunks; for each chunk
+a 16-byte digest, a u32 length and u8 1 if its samples stand here, 0 if they are a chunk of their
+own; then the samples that stand here. Its size and sha256 are those of the bytes read from the store.
 
 Payload bytes are not shuffled on the way in: tasks scan the texts twice, first for digests, then
 to write what the join says is theirs. The list that tells them so is broadcast if its counted
-size is small, else joined by shuffle.
+size is small, else joined by shuffle. A media or a chunk that very many rows use is joined by
+broadcast (skew_join), so no task gets all its uses.
 
 Defined results: null and empty texts are one payload of 64 zero bytes; equal payloads are one
 media; repeated rows share it; a null id is kept; other columns are not read.
@@ -30,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import map_columns, maybe_broadcast, stored
+from kbspark.llm.common import map_columns, maybe_broadcast, skew_join, stored
 
 UNIT, WINDOW = 64, 64
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 256, 8192, 10
@@ -98,25 +100,44 @@ def feature_of(payload: bytes) -> str:
     return f"mean={mean:.4f};spread={spread:.4f};entropy={float(-(used * np.log2(used)).sum()):.4f}"
 
 
-def read_back(parts: list[tuple[bytes, bytes]]) -> dict:
-    """Features of a media from its (digest, samples) in order; a chunk that fails its digest is an error."""
-    form = hashlib.sha256(b"CDC1" + struct.pack("<I", len(parts)))
-    size = 8
-    for name, samples in parts:
-        if digest(samples) != name:
-            raise ValueError("a chunk read back does not match its digest")
-        form.update(name + struct.pack("<I", len(samples)))
-        form.update(samples)
-        size += len(name) + 4 + len(samples)
+ENTRY = struct.Struct(f"<{DIGEST_BYTES}sIB")
+
+
+def write_form(parts: list[bytes], names: list[bytes], away: set[int]) -> bytes:
+    """The stored form of a media; away: places of chunks that are stored on their own."""
+    entries = [ENTRY.pack(name, len(c), k not in away) for k, (c, name) in enumerate(zip(parts, names, strict=True))]
+    return b"".join([b"CDC1", struct.pack("<I", len(parts)), *entries, *(c for k, c in enumerate(parts) if k not in away)])
+
+
+def read_form(form: bytes) -> list[tuple[bytes, bytes | None]]:
+    """(digest, samples or None) of the chunks in order."""
+    if form[:4] != b"CDC1":
+        raise ValueError("not a media of this version")
+    (n,) = struct.unpack_from("<I", form, 4)
+    at, out = 8 + n * ENTRY.size, []
+    for name, size, here in ENTRY.iter_unpack(form[8:at]):
+        out.append((name, form[at : at + size] if here else None))
+        at += size * here
+    if at != len(form):
+        raise ValueError("a media has another length than its chunks")
+    return out
+
+
+def read_back(form: bytes, away: dict[int, bytes]) -> dict:
+    """Features of a media from its stored form and the chunks stored on their own; a chunk that fails its digest is an error."""
+    parts = [(name, away.get(k) if samples is None else samples) for k, (name, samples) in enumerate(read_form(form))]
+    if any(samples is None or digest(samples) != name for name, samples in parts):
+        raise ValueError("a chunk read back is missing or does not match its digest")
     payload = b"".join(samples for _, samples in parts)
     return {
         "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]),
-        "media_bytes": size, "media_sha256": form.hexdigest(), "feature": feature_of(payload), "n_chunks": len(parts),
+        "media_bytes": len(form), "media_sha256": hashlib.sha256(form).hexdigest(), "feature": feature_of(payload), "n_chunks": len(parts),
     }
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
-STORED = "kind string, id binary, list array<binary>, own array<int>, samples array<binary>"
+#: A media that stands alone, a mixed one (with the places and digests of its chunks elsewhere), or a chunk (its samples).
+STORED = "kind string, id binary, form binary, places array<int>, chunks array<binary>"
 
 
 def media_key(text: str):
@@ -142,44 +163,43 @@ def chunk_lists(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return map_columns(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scan, "doc_id long, n_bytes long, media binary, list array<binary>")
 
 
-def write_media(docs: DataFrame, lists: DataFrame, text: str, doc_id: str) -> DataFrame:
+def write_media(docs: DataFrame, lists: DataFrame, text: str, doc_id: str, limit_bytes: int = 64 << 20) -> DataFrame:
     """Second scan: the media and chunk tables.
 
     Each media is written by the row of its smallest id, each shared chunk by one place in one media.
     """
-    owners = lists.groupBy("media").agg(F.min("doc_id").alias("doc_id"), F.first("list").alias("list"))
-    places = owners.select("media", F.posexplode("list").alias("pos", "chunk"))
-    shared = (
+    owners = stored(lists.groupBy("media").agg(F.min("doc_id").alias("doc_id"), F.first("list").alias("list")), "media-owners")
+    places = stored(owners.select("media", F.posexplode("list").alias("pos", "chunk")), "media-places")
+    shared = stored(
         places.groupBy("chunk")
         .agg(F.min(F.struct("media", "pos")).alias("at"), F.count("*").alias("uses"))
-        .where("uses > 1").select("chunk", "at")
+        .where("uses > 1").select("chunk", "at"), "media-shared"
     )
     # a row for each media with shared chunks: their positions, and those of them that it writes
     marks = (
-        places.join(shared, "chunk")
+        skew_join(places, shared, ["chunk"])
         .groupBy("media")
         .agg(F.collect_list("pos").alias("elsewhere"), F.collect_list(F.when(F.struct("media", "pos") == F.col("at"), F.col("pos"))).alias("writes"))
     )
-    copies = lists.join(owners.select("media", F.col("doc_id").alias("owner")), "media").where("NOT doc_id <=> owner").select("doc_id", "media").distinct()
+    copies = skew_join(lists.select("doc_id", "media"), owners.select("media", F.col("doc_id").alias("owner")), ["media"]).where("NOT doc_id <=> owner").select("doc_id", "media").distinct()
     todo = owners.select("doc_id", "media").join(marks, "media").withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     todo = stored(todo.withColumnsRenamed({"doc_id": "todo_id", "media": "todo_media"}), "media-todo")
     sizes = todo.agg(F.count("*"), F.coalesce(F.sum(F.size("elsewhere") + F.size("writes")), F.lit(0))).first()
-    todo = maybe_broadcast(todo, 1, sizes[0] * 96 + sizes[1] * 4)
+    todo = maybe_broadcast(todo, 1, sizes[0] * 96 + sizes[1] * 4, limit_bytes)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), media_key(text).alias("media"))
     mine = own["doc_id"].eqNullSafe(todo["todo_id"]) & (own["media"] == todo["todo_media"])
     marked = own.join(todo, mine, "left").where("copy IS NULL OR NOT copy").select("text", "elsewhere", "writes")
 
     def write(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            out = {c: [] for c in ("kind", "id", "list", "own", "samples")}
+            out: dict = {c.split()[0]: [] for c in STORED.split(", ")}
             for t, elsewhere, writes in zip(batch["text"], batch["elsewhere"], batch["writes"], strict=True):
                 payload, _ = payload_of(t)
                 parts = chunks(payload)
                 names = [digest(c) for c in parts]
-                away = set(elsewhere or ())
-                own = [k for k in range(len(parts)) if k not in away]
-                rows = [("media" if not away else "mixed", hashlib.sha256(payload).digest(), names, own, [parts[k] for k in own])]
-                rows += [("chunk", names[k], [], [], [parts[k]]) for k in writes or ()]
+                away = sorted(elsewhere or ())
+                rows = [("mixed" if away else "media", hashlib.sha256(payload).digest(), write_form(parts, names, set(away)), away, [names[k] for k in away])]
+                rows += [("chunk", names[k], parts[k], [], []) for k in writes or ()]
                 for row in rows:
                     for c, v in zip(out, row, strict=True):
                         out[c].append(v)
@@ -191,33 +211,24 @@ def write_media(docs: DataFrame, lists: DataFrame, text: str, doc_id: str) -> Da
 def read_media(store: DataFrame) -> DataFrame:
     """Rebuild every media from the stored tables: (media, features)."""
 
-    def whole(batches: Iterator[dict]) -> Iterator[dict]:
+    def rebuild(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield features_of(batch["id"], [list(zip(names, samples, strict=True)) for names, samples in zip(batch["list"], batch["samples"], strict=True)])
-
-    def mixed(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            parts_of = []
-            for names, own, samples, away in zip(batch["list"], batch["own"], batch["samples"], batch["away"], strict=True):
-                found = dict(zip(own, samples, strict=True)) | {x["pos"]: x["samples"] for x in away}
-                parts_of.append([(name, found[k]) for k, name in enumerate(names)])
-            yield features_of(batch["id"], parts_of)
-
-    def features_of(ids: list, parts_of: list) -> dict:
-        rows = [read_back(parts) for parts in parts_of]
-        return {"media": ids} | {c: [r[c] for r in rows] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")}
+            rows = [read_back(form, {x["pos"]: x["samples"] for x in away or ()}) for form, away in zip(batch["form"], batch["away"], strict=True)]
+            yield {"media": batch["id"]} | {c: [r[c] for r in rows] for c in FEATURES.replace(" long", "").replace(" string", "").split(", ")}
 
     schema = f"media binary, {FEATURES}"
-    alone = map_columns(store.where("kind = 'media'").select("id", "list", "samples"), whole, schema)
+    alone = store.where("kind = 'media'").select("id", "form", F.lit(None).cast("array<struct<pos:int,samples:binary>>").alias("away"))
     part = store.where("kind = 'mixed'")
-    lists = part.select("id", "own", F.posexplode("list").alias("pos", "chunk")).where(~F.array_contains("own", F.col("pos"))).select("id", "pos", "chunk")
-    held = store.where("kind = 'chunk'").select(F.col("id").alias("chunk"), F.element_at("samples", 1).alias("samples"))
-    away = lists.join(held, "chunk").groupBy("id").agg(F.collect_list(F.struct("pos", "samples")).alias("away"))
-    return alone.unionByName(map_columns(part.select("id", "list", "own", "samples").join(away, "id"), mixed, schema))
+    lists = stored(part.select("id", F.explode(F.arrays_zip("places", "chunks")).alias("x")).select("id", F.col("x.places").alias("pos"), F.col("x.chunks").alias("chunk")), "media-uses")
+    held = store.where("kind = 'chunk'").select(F.col("id").alias("chunk"), F.col("form").alias("samples"))
+    away = skew_join(lists, held, ["chunk"]).groupBy("id").agg(F.collect_list(F.struct("pos", "samples")).alias("away"))
+    # a chunk that is not found leaves its media without it, which rebuild reports
+    whole = part.select("id", "form").join(away, "id", "left")
+    return map_columns(alone, rebuild, schema).unionByName(map_columns(whole, rebuild, schema))
 
 
-def media_round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def media_round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit_bytes: int = 64 << 20) -> DataFrame:
     """Store every text as media, read the store back: doc_id, n_bytes and the features of its media."""
     lists = stored(chunk_lists(docs, text, doc_id), "media-lists")
-    features = read_media(write_media(docs, lists, text, doc_id)).dropDuplicates(["media"])
-    return lists.select("doc_id", "n_bytes", "media").join(features, "media").drop("media")
+    features = stored(read_media(write_media(docs, lists, text, doc_id, limit_bytes)).dropDuplicates(["media"]), "media-features")
+    return skew_join(lists.select("doc_id", "n_bytes", "media"), features, ["media"]).drop("media")

@@ -21,7 +21,8 @@ Components follow from links by propagating the smallest id, with pointer jumpin
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing
 and is kept; with fewer than five words the whole sequence is the one shingle; ties go to the
 smallest id; repeated rows get equal results; a row with a null id joins a group only through a
-set equal to one of it, and is never the smallest; other columns are not read.
+set equal to one of it, and is never the smallest; other columns, of any names, are carried along by
+drop_near_duplicates. It tells rows by id and text, so one id with two texts is two documents there.
 """
 
 from __future__ import annotations
@@ -35,11 +36,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import map_columns, maybe_broadcast, stored
+from kbspark.llm.common import map_columns, maybe_broadcast, row_key, skew_join, stored
 
 WORDS = 5
-#: Link: 100 * intersection >= PERCENT * union.
-PERCENT = 85
+#: Link: 100 * intersection >= PERCENT * union; STAGE_PERCENT where near duplicates are dropped.
+PERCENT, STAGE_PERCENT = 85, 80
 #: The chance that none of BANDS bands of ROWS rows agrees at similarity 0.85 is (1 - 0.85**5)**24 < MISSED.
 BANDS, ROWS = 24, 5
 #: Largest chance to miss a pair at the limit; lower limits take fewer rows a band, see rows_for.
@@ -129,12 +130,12 @@ def band_hashes(sig: np.ndarray, n_rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str, doc_id: str, n_rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set_digest, bands): one scan, no text leaves the task."""
+    """(doc_id, k1, k2, n_shingles, set_digest, bands): one scan, no text leaves the task; k1, k2 tell rows by id and text."""
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
         shingler = Shingler()
         for batch in batches:
-            out = {"doc_id": batch["doc_id"], "n_shingles": [], "set_digest": [], "bands": []}
+            out = {c: batch[c] for c in ("doc_id", "k1", "k2")} | {"n_shingles": [], "set_digest": [], "bands": []}
             for t in batch["text"]:
                 s = shingler(t)
                 out["n_shingles"].append(len(s))
@@ -142,7 +143,9 @@ def sketches(docs: DataFrame, text: str, doc_id: str, n_rows: int = ROWS) -> Dat
                 out["bands"].append(band_hashes(signature(s), n_rows).tolist() if len(s) else [])
             yield out
 
-    return map_columns(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scan, "doc_id long, n_shingles long, set_digest binary, bands array<long>")
+    k1, k2 = row_key(doc_id, text)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
+    return map_columns(rows, scan, "doc_id long, k1 long, k2 long, n_shingles long, set_digest binary, bands array<long>")
 
 
 def linked(inter: int, union: int, percent: int = PERCENT) -> bool:
@@ -229,8 +232,8 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "x").where(close).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
-def near_links(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links (a, b) between representatives, enough to give the components."""
+def near_components(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the representatives that have a confirmed link."""
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     pivots = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
     members = stored(rows.join(pivots, "bucket").where("rep > pivot").select("bucket", "pivot", "rep"), "members")
@@ -259,25 +262,42 @@ def near_links(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, percent
     ).select("rep", F.col("c").alias("component")).distinct()
     rest = stored(rest, "rest")
     if rest.isEmpty():
-        return links
+        return comps
     done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = stored(prefix_pairs(rest, texts, percent).join(done, ["a", "b"], "left_anti"), "more")
-    return links.unionByName(overlaps(more, texts).where(is_link).select("a", "b"))
+    extra = stored(overlaps(more, texts).where(is_link).select("a", "b"), "extra")
+    if extra.isEmpty():
+        return comps
+    # the components found so far are the nodes of the links found last
+    ends = extra.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = stored(comps.unionByName(ends.join(comps, "node", "left_anti").withColumn("component", F.col("node"))), "comps-nodes")
+    of = lambda c: own.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    between = extra.join(of("a"), "a").join(of("b"), "b").where("a_c <> b_c").select(F.col("a_c").alias("a"), F.col("b_c").alias("b")).distinct()
+    joined = components(between).select(F.col("component").alias("c"), F.col("node").alias("component"))
+    return own.join(joined, "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+
+
+def _marked(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
+    """Per row of `docs`: doc_id, k1, k2, n_shingles, component_id, kept."""
+    sketched = stored(sketches(docs, text, doc_id, rows_for(percent)), "sketches")
+    reps = stored(sketched.where("n_shingles > 0").groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
+    comps = near_components(docs, reps.where("rep IS NOT NULL"), text, doc_id, percent).withColumnRenamed("node", "rep")
+    of_set = reps.select("set_digest", "rep").join(comps, "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("component"))
+    # most sets have one row, and a third of all rows may have one set
+    own = sketched.select("doc_id", "k1", "k2", "n_shingles", "set_digest")
+    found = skew_join(own.where("set_digest IS NOT NULL"), of_set, ["set_digest"]).unionByName(own.where("set_digest IS NULL").withColumn("component", F.col("doc_id")))
+    found = found.withColumn("component_id", F.coalesce("component", "doc_id"))
+    return found.select("doc_id", "k1", "k2", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, kept."""
-    sketched = stored(sketches(docs, text, doc_id, rows_for(percent)), "sketches")
-    sets = sketched.where("n_shingles > 0")
-    reps = sets.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    links = near_links(docs, reps.where("rep IS NOT NULL"), text, doc_id, percent)
-    comps = components(links).withColumnsRenamed({"node": "rep"})
-    of_set = reps.select("set_digest", "rep").join(comps, "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("component"))
-    found = sketched.join(of_set, "set_digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return _marked(docs, text, doc_id, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = STAGE_PERCENT, limit_bytes: int = 64 << 20) -> DataFrame:
     """`docs` with one document of each component: the one with the smallest id."""
-    gone = near_duplicates(docs, text, doc_id, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = stored(_marked(docs, text, doc_id, percent).where("NOT kept").select("k1", "k2").distinct(), "gone")
+    k1, k2 = row_key(doc_id, text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2"))
+    return rows.join(maybe_broadcast(gone, gone.count(), 32, limit_bytes), ["k1", "k2"], "left_anti").select("row.*")

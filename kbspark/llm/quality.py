@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kbspark.llm.common import beside
+
 #: Fixed values: (texts of fewer bytes than this, lowest ratio, highest ratio). From 256 to 32,768 bytes they are
 #: fitted on the 3,980 labelled documents of sf0.1 (zstd level 3): the highest ratio is the 99.5 % quantile of
 #: the documents labelled good that pass the base rules, and from 512 bytes the lowest is 0.25 under their smallest.
@@ -131,4 +133,4 @@ def score_quality(docs: DataFrame, text: str = "text", into: str = "quality") ->
 
 def keep_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that pass."""
-    return score_quality(docs, text, "__quality").where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return beside(docs, score_quality, text).where("quality.kept").select("row.*")

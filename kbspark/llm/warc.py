@@ -8,7 +8,12 @@ Reading: files are dealt out as byte ranges. A task looks for gzip magic in its
 place as a record only if a member that begins with a WARC version line decodes from there, and
 owns the records that start inside its range, reading past its end to finish the last one. After
 a record it goes on behind that member. Payloads here are UTF-8 text, which can never hold the
-magic bytes, so bytes inside a stored member cannot pass as a record.
+magic bytes, so bytes inside a stored member cannot pass as a record. A record that begins well and
+does not decode to its end is an error, and so are a file that is shorter than the manifest says
+and, through `missing_records`, a file that gives fewer records than were written.
+
+Pages are scanned twice, once for digests and once to write; the list of revisits between them is
+broadcast if its counted size is small, so payloads are not shuffled.
 
 Defined results: null payloads are empty; a null url leaves the target out; empty payloads are
 deduplicated like others; rows that repeat both id and payload are all responses, and where one id
@@ -28,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import file_system, map_columns, scratch_path, stored
+from kbspark.llm.common import file_system, map_columns, maybe_broadcast, scratch_path, skew_join, stored
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION_LINE = b"WARC/1."
@@ -69,15 +74,16 @@ def member(data: bytes, level: int) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, level: int = 6) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, level: int = 6, limit_bytes: int = 64 << 20) -> DataFrame:
     """Write the archives; returns the manifest (path, size, records).
 
     min_bytes: payloads of fewer bytes are responses always.
     """
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    keys = base.where(F.octet_length("payload") >= min_bytes).select("page_id", "sha")
+    keys = stored(base.where(F.octet_length("payload") >= min_bytes).select("page_id", "sha"), "warc-keys")
     firsts = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    again = keys.join(firsts, "sha").where("NOT page_id <=> first").select(F.col("page_id").alias("r_id"), F.col("sha").alias("r_sha"), "first").distinct()
+    again = stored(skew_join(keys, stored(firsts, "warc-firsts"), ["sha"]).where("NOT page_id <=> first").select(F.col("page_id").alias("r_id"), F.col("sha").alias("r_sha"), "first").distinct(), "warc-again")
+    again = maybe_broadcast(again, again.count(), 64, limit_bytes)
     marked = base.join(again, base["page_id"].eqNullSafe(F.col("r_id")) & (base["sha"] == F.col("r_sha")), "left").select("page_id", "url", "payload", "first", F.col("r_sha").isNotNull().alias("again"))
 
     def write(batches: Iterator[dict]) -> Iterator[dict]:
@@ -122,23 +128,27 @@ class RangeReader:
         self.held, self.base = self.held[to - self.base :], to
 
     def _member(self, at: int) -> tuple[bytes, int] | None:
-        """The decoded member at a place and the place behind it, or None if there is no WARC record."""
-        unpacker, out, fed = zlib.decompressobj(31), [], at - self.base
-        checked = False
-        while True:
-            if fed >= len(self.held) and not self._more():
-                return None
+        """The decoded member at a place and the place behind it, or None if no WARC record begins there."""
+        unpacker, out, fed, limit = zlib.decompressobj(31), [], at - self.base, len(VERSION_LINE)
+        while not unpacker.eof:
+            data = unpacker.unconsumed_tail
+            if not data:
+                if fed >= len(self.held) and not self._more():
+                    if limit:
+                        return None
+                    raise ValueError(f"the record at byte {at} has no end")
+                data, fed = self.held[fed:], len(self.held)
             try:
-                out.append(unpacker.decompress(self.held[fed:]))
-            except zlib.error:
-                return None
-            fed = len(self.held)
-            if not checked and (unpacker.eof or sum(map(len, out)) >= len(VERSION_LINE)):
-                if not b"".join(out).startswith(VERSION_LINE):
+                out.append(unpacker.decompress(data, max(0, limit - sum(map(len, out)))))  # the version line first, then all
+            except zlib.error as error:
+                if limit:
+                    return None
+                raise ValueError(f"the record at byte {at} does not decode") from error
+            if limit and sum(map(len, out)) >= limit:
+                if b"".join(out) != VERSION_LINE:
                     return None
-                checked = True
-            if unpacker.eof:
-                return b"".join(out), self.base + fed - len(unpacker.unused_data)
+                limit = 0
+        return None if limit else (b"".join(out), self.base + fed - len(unpacker.unused_data))
 
     def __iter__(self) -> Iterator[bytes]:
         at = self.start
@@ -171,11 +181,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+RECORDS = "path string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
 def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """Response and revisit records of the archives in a manifest (path, size).
+    """Response and revisit records of the archives in a manifest (path, size), with the path of their file.
 
     A revisit's digest and length come from its headers, a response's from the bytes that were read.
     """
@@ -189,6 +199,8 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: boo
             for path, size, start in zip(batch["path"], batch["size"], batch["at"], strict=True):
                 fs, place = file_system(path)
                 with fs.open_input_file(place) as source:
+                    if source.size() != size:
+                        raise ValueError(f"{path} has {source.size()} bytes in place of {size}")
                     out: dict = {c.split()[0]: [] for c in RECORDS.split(", ")}
                     held = 0
                     for data in RangeReader(source, size, start, min(size, start + split_bytes)):
@@ -203,7 +215,7 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: boo
                                 raise ValueError(f"digest of {fields['warc-record-id']} does not match")
                         else:
                             n, sha = int(re.search(rb"(?i)content-length: (\d+)", http)[1]), fields["warc-payload-digest"].removeprefix("sha1:")
-                        row = (number(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, number(fields["warc-refers-to"]) if kind == "revisit" else None, sha, n, payload if payloads and kind == "response" else None)
+                        row = (path, number(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, number(fields["warc-refers-to"]) if kind == "revisit" else None, sha, n, payload if payloads and kind == "response" else None)
                         for c, v in zip(out, row, strict=True):
                             out[c].append(v)
                         held += len(payload) + 200
@@ -217,7 +229,17 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: boo
     return map_columns(splits.repartition(max(1, min(int(tasks), 100_000)), "path", "at"), read, RECORDS)
 
 
+def missing_records(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """(path, records, found) of the files that gave another number of records than the manifest says."""
+    found = records.groupBy("path").agg(F.count("*").alias("found"))
+    return manifest.select("path", "records").join(found, "path", "left").withColumn("found", F.coalesce("found", F.lit(0))).where("records <> found")
+
+
 def warc_round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Write archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to. A file that lacks records is an error."""
     manifest = write_warc(pages, folder or scratch_path(pages.sparkSession, "warc"), **options)
-    return read_warc(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = stored(read_warc(manifest, payloads=False).drop("payload", "url"), "warc-records")
+    lost = missing_records(manifest, records).first()
+    if lost:
+        raise ValueError(f"{lost['path']}: {lost['found']} of {lost['records']} records were read")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

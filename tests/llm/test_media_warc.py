@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,16 +32,20 @@ def test_chunks_follow_content():
     assert max(map(len, media.chunks(b"\0" * 40_000))) <= media.MAX_CHUNK
 
 
-def test_media_round_trip(docs, rows, none):
-    got = media.media_round_trip(docs).collect()
-    assert len(got) == len(rows)
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_media_round_trip(docs, rows, none, limit):
+    """Against forms made by hand; with a list of what to write that is broadcast, or joined by shuffle."""
+    payloads = [media.payload_of(r[1])[0] for r in rows]
+    uses = Counter(c for p in dict.fromkeys(payloads) for c in media.chunks(p))
     want = []
-    for doc, text, *_ in rows:
-        data = (text or "").encode()
-        payload = data + b"\0" * (-len(data) % 64 or (64 if not data else 0))
-        form = b"".join(media.digest(c) + len(c).to_bytes(4, "little") + c for c in media.chunks(payload))
-        form = b"CDC1" + len(media.chunks(payload)).to_bytes(4, "little") + form
-        want.append((doc, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(form), hashlib.sha256(form).hexdigest(), media.feature_of(payload)))
+    for (doc, text, *_), payload in zip(rows, payloads, strict=True):
+        form, end = b"CDC1" + len(media.chunks(payload)).to_bytes(4, "little"), b""
+        for c in media.chunks(payload):
+            form += media.digest(c) + len(c).to_bytes(4, "little") + bytes([uses[c] == 1])
+            end += c if uses[c] == 1 else b""
+        form += end
+        want.append((doc, len((text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(form), hashlib.sha256(form).hexdigest(), media.feature_of(payload)))
+    got = media.media_round_trip(docs, limit_bytes=limit).collect()
     assert sorted((tuple(r)[:8] for r in got), key=str) == sorted(want, key=str)
     assert media.media_round_trip(none).collect() == []
 
@@ -52,8 +57,21 @@ def test_ids_shared_by_different_texts(spark):
 
 
 def test_a_damaged_chunk_is_an_error():
-    with pytest.raises(ValueError):
-        media.read_back([(media.digest(b"abc"), b"abd")])
+    parts = media.chunks(random.Random(4).randbytes(5000))
+    names = [media.digest(c) for c in parts]
+    form = media.write_form(parts, names, {1})
+    assert media.read_back(form, {1: parts[1]})["payload_bytes"] == 5000
+    for damaged, away in ((form, {}), (form, {1: parts[0]}), (form[:-1] + bytes([form[-1] ^ 1]), {1: parts[1]}), (form[:-1], {1: parts[1]})):
+        with pytest.raises(ValueError):
+            media.read_back(damaged, away)
+
+
+def test_a_payload_of_most_rows(spark):
+    """A third of all rows are one text, and half of the others share a passage; keys over 1 / hot of the rows go by broadcast."""
+    shared = "".join(chr(97 + k % 26) for k in range(3000))
+    rows = [(i, "copied text" if i % 3 == 0 else shared * (i % 2) + str(i)) for i in range(3000)]
+    got = media.media_round_trip(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["payload_sha256"]) for r in got} == {(i, hashlib.sha256(media.payload_of(t)[0]).hexdigest()) for i, t in rows}
 
 
 PAGES = "page_id long, url string, html string, size long, path string"
@@ -78,8 +96,9 @@ def test_warc_round_trip(spark):
         data, own = (html or "").encode(), first.get(html or "")
         want.append((page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if page == own else "revisit", None if page == own else own))
     want = [(*w[:3], "response", None) if w[0] is None else w for w in want]
-    got = [tuple(r) for r in warc.warc_round_trip(pages).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    for limit in (64 << 20, 0):
+        got = [tuple(r) for r in warc.warc_round_trip(pages, limit_bytes=limit).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
     assert warc.warc_round_trip(spark.createDataFrame([], PAGES)).collect() == []
 
 
@@ -111,3 +130,29 @@ def test_range_reader_skips_false_magic():
         break
     fields, block = warc.parse(found[0])
     assert fields["warc-type"] == "response" and block.endswith(b"body")
+
+
+@pytest.mark.parametrize("damage", ["cut", "flip in the data", "flip in the magic", "lost file tail with its size"])
+def test_a_damaged_archive_is_an_error(spark, damage):
+    from kbspark.llm.common import scratch_path
+
+    rows = [(i, f"u{i}", random.Random(i).randbytes(300).hex(), 0, "") for i in range(5)]
+    manifest = warc.write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), scratch_path(spark, "test"))
+    path = manifest.first()["path"].removeprefix("file:")
+    data = bytearray(open(path, "rb").read())
+    starts = [i for i in range(len(data)) if data[i : i + 3] == warc.MAGIC]
+    if damage == "flip in the data":
+        data[(starts[2] + starts[3]) // 2 + 60] ^= 1
+    elif damage == "flip in the magic":
+        data[starts[2]] ^= 1
+    else:
+        del data[starts[-1] + 100 :]
+    open(path, "wb").write(bytes(data))
+    if damage.startswith("lost"):
+        manifest = manifest.withColumn("size", manifest.size * 0 + len(data))
+    if damage == "flip in the magic":  # no trace in the bytes that are left, but a record is missing
+        lost = warc.missing_records(manifest, warc.read_warc(manifest)).collect()
+        assert [(r["records"], r["found"]) for r in lost] == [(5, 4)]
+    else:
+        with pytest.raises(Exception, match="ValueError"):
+            warc.read_warc(manifest).collect()

@@ -48,9 +48,14 @@ def check(spark, rows, schema="doc_id long, text string"):
 def test_edge_rows(spark, rows, docs, none):
     got = sorted(map(tuple, neardup.near_duplicates(docs).collect()), key=str)
     assert got == brute(rows)
-    kept = neardup.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == sum(r[3] for r in got)
+    for limit in (64 << 20, 0):
+        kept = neardup.drop_near_duplicates(docs, percent=85, limit_bytes=limit)
+        assert kept.columns == docs.columns
+        assert kept.count() == sum(r[3] for r in got)
+    names = ("row", "k1", "k2", "doc", "component", "component_id", "kept", "set_digest", "bands", "__gone", "text_a")
+    more = docs.select("*", *[docs.lang.alias(c) for c in names])
+    kept = neardup.drop_near_duplicates(more)
+    assert kept.columns == more.columns and kept.count() == sum(r[3] for r in brute(rows, 80))
     assert neardup.near_duplicates(none).collect() == []
 
 
@@ -111,3 +116,10 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 200), (300, 301)]
     got = {r["node"]: r["component"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 200: 0, 90: 90, 95: 90, 100: 90, 300: 300, 301: 300}
+
+
+def test_one_id_with_two_texts(spark):
+    """Rows are told by id and text: the copy goes, the other text of its id stays."""
+    base = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(1, " ".join(base)), (5, " ".join(base)), (5, "another text of five words or so")], "doc_id long, text string")
+    assert sorted(map(tuple, neardup.drop_near_duplicates(df).collect())) == [(1, " ".join(base)), (5, "another text of five words or so")]

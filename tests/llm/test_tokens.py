@@ -97,6 +97,7 @@ def test_id_files(docs, rows, none):
         ids = np.array([*word_ids(text or ""), 2], "<u4")
         assert (by[doc]["n_tokens"], by[doc]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
     assert bitpack.round_trip(none).collect() == []
+    assert sorted(map(tuple, bitpack.round_trip(docs, roll_ids=5000).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
 def test_histogram(docs, rows, none):

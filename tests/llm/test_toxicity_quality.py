@@ -1,8 +1,11 @@
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
+import zstandard
 
 from conftest_words import prose
 from kbspark.llm import quality, toxicity
@@ -64,6 +67,13 @@ def brute_weights(text, lexicon):
     return list(out.values())
 
 
+def brute_score(text, model):
+    text = text or ""
+    harm = brute_weights(text, model.lexicon)
+    inputs = [1.0, *[math.log(1 + x) for x in harm], math.log(1 + sum(harm)), len(bin(text.count(" ") + 1)[2:]) / 4]
+    return 1 / (1 + math.exp(-sum(w * x for w, x in zip(model.weights, inputs, strict=True))))
+
+
 def test_clauses_against_brute_force(rows):
     rng = random.Random(5)
     lexicon = toxicity.Lexicon({"idiot": 7, "stup*": 3, "moron": 2})
@@ -176,7 +186,8 @@ def brute_quality(text):
     text = text or ""
     words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
     seen, dup = set(), 0
     for line in text.split("\n"):
         if re.search("[^\x20\x09-\x0d]", line):
@@ -185,15 +196,32 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words)
 
 
+def brute_kept(text):
+    """The verdict from the table of bands alone."""
+    if brute_quality(text)[-1]:
+        return False
+    data = text.encode()
+
+    def inside(part):
+        _, low, high = min(b for b in quality.BANDS if len(part) < b[0])
+        return low <= len(part) / len(zstandard.compress(part, 3)) <= high
+
+    parts = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) >= 4096 else []
+    return inside(data) and 2 * sum(len(p) for p in parts if not inside(p)) <= len(data)
+
+
 def test_quality_counts(docs, rows, none):
     got = quality.score_quality(docs).select("doc_id", "quality.*").collect()
-    assert len(got) == len(rows)
-    want = sorted(((r[0], *brute_quality(r[1])) for r in rows if len(r[1] or "") < 100_000), key=str)
-    assert sorted((tuple(r)[:7] for r in got if r["doc_id"] not in (306, 307)), key=str) == want
+    want = sorted(((r[0], *brute_quality(r[1])) for r in rows), key=str)
+    assert sorted((tuple(r)[:7] for r in got), key=str) == want
     assert quality.score_quality(none).collect() == []
-    kept = quality.keep_quality(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == sum(r["kept"] for r in got)
+    kept = [r[0] for r in rows if brute_kept(r[1])]
+    assert 10 < len(kept) < len(rows)
+    assert sorted((r["doc_id"] for r in got if r["kept"]), key=str) == sorted(kept, key=str)
+    more = docs.select("*", *[docs.lang.alias(c) for c in ("__quality", "quality", "row", "text_", "kept")])
+    out = quality.keep_quality(more)
+    assert out.columns == more.columns
+    assert sorted(((r["doc_id"], r["kept"]) for r in out.collect()), key=str) == sorted(((r[0], r[2]) for r in rows if brute_kept(r[1])), key=str)
 
 
 def test_bands():
