@@ -1,10 +1,18 @@
-"""Text splitting on the Python side of a pandas UDF: rules that look back at their own output."""
+"""Text splitting on the Python side of a pandas UDF, over offsets of the text.
+
+A splitter cuts a text at the places of its coarsest separator. Neighbouring parts shorter than the
+size share chunks; a longer part is cut again by the finer separators, and stays whole if none is
+left. All of it works on cut positions; text is sliced out once, when the chunks are known.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from itertools import pairwise
+
+from kbspark.functions.columns import sentence_pattern
 
 #: Separators of the section-aware splitter, tried in this order.
 SECTION_SEPARATORS = (
@@ -24,63 +32,70 @@ CHARACTER_SEPARATORS = ("\n\n", "\n", " ", "")
 SECTION_RULE = r"[一二三四五六七八九十]+、.+"
 
 
-def clean(chunk: str) -> str:
-    return re.sub(r"\n{2,}", "\n", chunk.strip())
-
-
-def pieces(text: str, pattern: str) -> list[str]:
-    """Parts of a text, each match at the start of its part; single characters for the empty pattern."""
-    if not pattern:
-        return list(text)
-    starts = [m.start() for m in re.finditer(pattern, text) if m.end() > m.start()]
-    bounds = [0, *starts, len(text)]
-    return [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
-
-
-def fill(parts: list[str], size: int, overlap: int) -> list[str]:
-    """Join parts greedily up to `size` characters; each chunk begins with the last parts, of `overlap` characters at most, of the one before."""
-    out, held, total = [], deque(), 0
-    for part in parts:
-        if held and total + len(part) > size:
-            out.append("".join(held))
-            while held and (total > overlap or total + len(part) > size):
-                total -= len(held.popleft())
-        held.append(part)
-        total += len(part)
-    if held:
-        out.append("".join(held))
-    return [x for x in map(str.strip, out) if x]
+def cut_positions(text: str, begin: int, end: int, rules: tuple[str, ...]) -> tuple[list[int], tuple[str, ...]]:
+    """Where the first rule that occurs in text[begin:end] cuts it, both ends included, and the finer rules after it.
 
-
-def split_by_levels(text: str, separators: tuple[str, ...], size: int, overlap: int) -> list[str]:
-    """Chunks by the first separator that occurs; parts that are not under `size` go on with the later ones.
-
-    Chunks are cleaned at every level. A part that no separator is left for stays whole.
+    A cut stands before each match; the empty rule cuts at every character.
     """
-    at = next((i for i, s in enumerate(separators) if s == "" or re.search(s, text)), None)
-    later = separators[at + 1 :] if at is not None and separators[at] else ()
-    out, small = [], []
-    for part in pieces(text, separators[-1 if at is None else at]):
-        if len(part) < size:
-            small.append(part)
+    for k, rule in enumerate(rules):
+        if not rule:
+            return list(range(begin, end + 1)), ()
+        places = {m.start() for m in re.compile(rule).finditer(text, begin, end) if m.end() > m.start()}
+        if places:
+            return sorted(places | {begin, end}), rules[k + 1 :]
+    return [begin, end], ()
+
+
+def packed_spans(cuts: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Spans of whole parts (between neighbouring cuts, each shorter than the size): as long as the size allows, and each one reaches back over the last parts of the one before as far as `overlap` and its own first new part allow."""
+    spans, first, last = [], 0, len(cuts) - 1
+    while True:
+        upto = bisect_right(cuts, cuts[first] + size) - 1
+        spans.append((cuts[first], cuts[upto]))
+        if upto == last:
+            return spans
+        first = max(bisect_left(cuts, cuts[upto] - overlap), bisect_left(cuts, cuts[upto + 1] - size))
+
+
+def split_by_rules(text: str, rules: tuple[str, ...], size: int, overlap: int) -> list[str]:
+    """Chunks of a text, without white space at their ends and without empty lines."""
+    spans: list[tuple[int, int]] = []
+    todo = [(0, len(text), rules, False)]  # the part to come next is on top
+    while todo:
+        begin, end, finer, final = todo.pop()
+        if final:
+            spans.append((begin, end))
             continue
-        out += fill(small, size, overlap)
-        small = []
-        out += split_by_levels(part, later, size, overlap) if later else [part]
-    out += fill(small, size, overlap)
-    return [c for c in map(clean, out) if c]
+        cuts, rest = cut_positions(text, begin, end, finer)
+        found, run = [], [cuts[0]]
+        for a, b in pairwise(cuts):
+            if b - a < size:
+                run.append(b)
+                continue
+            found += [(x, y, (), True) for x, y in packed_spans(run, size, overlap)] if len(run) > 1 else []
+            found.append((a, b, rest, not rest))
+            run = [b]
+        found += [(x, y, (), True) for x, y in packed_spans(run, size, overlap)] if len(run) > 1 else []
+        todo += reversed(found)
+    chunks = (re.sub(r"\n{2,}", "\n", text[a:b].strip()) for a, b in spans)
+    return [c for c in chunks if c]
 
 
 def split_recursive(text: str, size: int = 400, overlap: int = 50) -> list[str]:
-    return split_by_levels(text, SECTION_SEPARATORS, size, overlap)
+    return split_by_rules(text, SECTION_SEPARATORS, size, overlap)
 
 
 def split_characters(text: str, size: int = 400, overlap: int = 0) -> list[str]:
-    return split_by_levels(text, tuple(re.escape(s) for s in CHARACTER_SEPARATORS), size, overlap)
+    return split_by_rules(text, tuple(re.escape(s) for s in CHARACTER_SEPARATORS), size, overlap)
 
 
 def split_sections(text: str, size: int = 400, overlap: int = 50) -> list[str]:
-    return split_by_levels(text, (SECTION_RULE,), size, overlap)
+    return split_by_rules(text, (SECTION_RULE,), size, overlap)
+
+
+def split_sentences(text: str, **_) -> list[str]:
+    """Sentences by the marks that end them; sizes do not matter."""
+    return [x for x in re.split(sentence_pattern().replace(r"\z", r"\Z"), text) if x.strip()]
 
 
 def merge_small(chunks: list[str], least: int = 80) -> list[str]:
@@ -99,9 +114,13 @@ def merge_small(chunks: list[str], least: int = 80) -> list[str]:
     return out
 
 
-#: Splitters by name; register more with `register_splitter`.
-SPLITTERS: dict[str, Callable[[str], list[str]]] = {"recursive": split_recursive, "characters": split_characters, "sections": split_sections}
+#: Splitters by name; register more with `register_splitter`. An unknown name stands for the splitter into sentences.
+SPLITTERS: dict[str, Callable[[str], list[str]]] = {"recursive": split_recursive, "characters": split_characters, "sections": split_sections, "sentences": split_sentences}
 
 
 def register_splitter(name: str, split: Callable[[str], list[str]]) -> None:
     SPLITTERS[name] = split
+
+
+def splitter(name: str) -> Callable[[str], list[str]]:
+    return SPLITTERS.get(name, split_sentences)

@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions.columns import chunk_id, extension, in_order, joined, without_extension
-from kbspark.functions.text import SPLITTERS, merge_small, split_characters
+from kbspark.functions.text import merge_small, split_characters
+from kbspark.functions.text import splitter as splitter_of
 
+#: One table holds the files of all bases, and two bases may have files of one name.
+FILE, SOURCE = ("kb_name", "file"), ("kb_name", "source")
 KNOWN_FIELDS = ("id", "parent_id", "multi_vector_type", "source", "filename", "knowledge_path")
 
 
@@ -32,7 +35,7 @@ def array_udf(split: Callable[[str], list[str]]) -> Callable:
 def split_texts(docs: DataFrame, text: str = "text", splitter: str = "recursive", least: int | None = None, size: int | None = None, overlap: int | None = None) -> DataFrame:
     """`docs` without the text, a row per chunk: seq and content; least: merge small chunks of a file."""
     options = {k: v for k, v in (("size", size), ("overlap", overlap)) if v is not None}
-    base = SPLITTERS[splitter]
+    base = splitter_of(splitter)
 
     def split(t: str) -> list[str]:
         parts = base(t, **options)
@@ -42,11 +45,11 @@ def split_texts(docs: DataFrame, text: str = "text", splitter: str = "recursive"
     return docs.select(*rest, F.posexplode(array_udf(split)(F.col(text))).alias("seq", "content"))
 
 
-def merge_small_chunks(chunks: DataFrame, by: str = "file", seq: str = "seq", content: str = "content", least: int = 80) -> DataFrame:
+def merge_small_chunks(chunks: DataFrame, by: tuple[str, ...] = FILE, seq: str = "seq", content: str = "content", least: int = 80) -> DataFrame:
     """(by, seq, content) of every group's merged chunks. A group is one file's chunks."""
     merge = array_udf_of_arrays(lambda xs: merge_small(xs, least))
-    grouped = chunks.groupBy(by).agg(F.transform(F.array_sort(in_order(seq, content)), lambda x: x["text"]).alias("parts"))
-    return grouped.select(by, F.posexplode(merge("parts")).alias("seq", "content"))
+    grouped = chunks.groupBy(*by).agg(F.transform(F.array_sort(in_order(seq, content)), lambda x: x["text"]).alias("parts"))
+    return grouped.select(*by, F.posexplode(merge("parts")).alias("seq", "content"))
 
 
 def array_udf_of_arrays(fn: Callable[[list[str]], list[str]]) -> Callable:
@@ -75,7 +78,7 @@ def summary_rows(chunks: DataFrame, generated: Column, kind: str = "text summary
 
 def chunk_corpus(corpus: DataFrame, splitter: str = "recursive", least: int | None = 80, smaller_size: int = 0, whole: tuple[str, ...] = (".pptx",)) -> DataFrame:
     """corpus (kb_name, file, text) -> chunks with ids, and children if smaller_size is given. Files of `whole` are not split."""
-    base = SPLITTERS[splitter]
+    base = splitter_of(splitter)
     split = array_udf(lambda t: merge_small(base(t), least) if least else base(t))
     parts = F.when(extension("file").isin(*whole), F.array("text")).otherwise(split("text"))
     big = corpus.select("kb_name", "file", F.posexplode(parts).alias("seq", "content")).withColumns(
@@ -108,14 +111,14 @@ def normalize_metadata(chunks: DataFrame, metadata: str = "metadata", file: str
     return chunks.withColumn(metadata, merged)
 
 
-def upsert_chunks(store: DataFrame, new: DataFrame, key: str = "source") -> DataFrame:
-    """The store after all chunks of the files in `new` are replaced."""
+def upsert_chunks(store: DataFrame, new: DataFrame, key: tuple[str, ...] = SOURCE) -> DataFrame:
+    """The store after all chunks of the files in `new` are replaced; a file of the same name in another base stays."""
     return delete_chunks(store, new, key).unionByName(new)
 
 
-def delete_chunks(store: DataFrame, files: DataFrame, key: str = "source") -> DataFrame:
+def delete_chunks(store: DataFrame, files: DataFrame, key: tuple[str, ...] = SOURCE) -> DataFrame:
     """The store without the chunks of these files."""
-    return store.join(files.select(key).distinct(), key, "left_anti")
+    return store.join(files.select(*key).distinct(), list(key), "left_anti")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -123,9 +126,9 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_name").parquet(path)
 
 
-def neighbor_context(chunks: DataFrame, by: str = "file", seq: str = "seq", content: str = "content", reach: int = 2) -> DataFrame:
+def neighbor_context(chunks: DataFrame, by: tuple[str, ...] = FILE, seq: str = "seq", content: str = "content", reach: int = 2) -> DataFrame:
     """Text of the chunks around each one, itself included, joined by a blank line."""
-    around = Window.partitionBy(by).orderBy(seq).rowsBetween(-reach, reach)
+    around = Window.partitionBy(*by).orderBy(seq).rowsBetween(-reach, reach)
     return chunks.withColumn("context", F.array_join(F.collect_list(content).over(around), "\n\n"))
 
 

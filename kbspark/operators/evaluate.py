@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def select_questions(questions: DataFrame, ids: list | None = None, key: str = "id") -> DataFrame:
-    """Questions of these ids (none given: all), sorted by id."""
-    return (questions.where(F.col(key).isin(ids)) if ids else questions).orderBy(key)
+def select_questions(questions: DataFrame, ids: list | DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Questions of these ids, a list or a table of them (none given: all), sorted by id."""
+    if isinstance(ids, DataFrame):
+        questions = questions.join(ids.select(key).distinct(), key, "left_semi")
+    elif ids:
+        questions = questions.where(F.col(key).isin(ids))
+    return questions.orderBy(key)
 
 
 def low_score_report(hits: DataFrame, limit: float = 0.4) -> DataFrame:
@@ -54,10 +58,35 @@ def eval_metrics(*metrics: DataFrame) -> DataFrame:
     return joined.agg(*[F.avg(c).alias(c) for c in joined.columns if c != "question_id"])
 
 
+#: Half the width, in ranks, of the range around a quantile whose values are counted exactly, and the accuracy of its ends.
+REACH, ACCURACY = 1e-4, 1_000_000
+
+
 def trace_latency(spans: DataFrame) -> DataFrame:
-    """Count, mean, median, 95th percentile and maximum of elapsed per stage."""
-    at = lambda q: F.percentile("elapsed", F.lit(q))
-    return spans.groupBy("stage").agg(F.count("*").alias("spans"), F.avg("elapsed").alias("mean"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max("elapsed").alias("longest"))
+    """Count, mean, median, 95th percentile and maximum of elapsed per stage.
+
+    Percentiles are exact and interpolated: a sketch gives a narrow range around each, the values below
+    it are counted, and those in it are ranked. So no task holds all values of a stage.
+    """
+    wanted = {"median": 0.5, "p95": 0.95}
+    ends = F.array(*[F.lit(x) for q in wanted.values() for x in (max(q - REACH, 0.0), min(q + REACH, 1.0))])
+    whole = spans.groupBy("stage").agg(
+        F.count("*").alias("spans"), F.count("elapsed").alias("n"), F.avg("elapsed").alias("mean"), F.max("elapsed").alias("longest"), F.percentile_approx("elapsed", ends, ACCURACY).alias("ends")
+    )
+    many = F.col("n") * REACH >= 2  # a stage of fewer values is ranked as a whole
+    ranges = whole.select("stage", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("q"), F.when(many, F.col("ends")[2 * k]).alias("low"), F.when(many, F.col("ends")[2 * k + 1]).otherwise(F.col("longest")).alias("high"), ((F.col("n") - 1) * share).alias("at")) for k, (name, share) in enumerate(wanted.items())
+    ])).alias("r")).select("stage", "r.*")
+    stages = ranges.count()
+    near = spans.where("elapsed IS NOT NULL").join(F.broadcast(ranges) if stages <= 100_000 else ranges, "stage").where(F.col("elapsed") <= F.col("high"))
+    counted = near.groupBy("stage", "q", "at", F.when(F.col("low").isNull() | (F.col("elapsed") >= F.col("low")), F.col("elapsed")).alias("value")).count()
+    upto = Window.partitionBy("stage", "q").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
+    place = counted.withColumn("upto", F.sum("count").over(upto))
+    found = place.groupBy("stage", "q").agg(
+        F.min(F.when(F.col("upto") > F.floor("at"), F.col("value"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("value"))).alias("b"), F.first(F.col("at") - F.floor("at")).alias("share")
+    ).select("stage", "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("x"))
+    both = found.groupBy("stage").agg(*[F.max(F.when(F.col("q") == name, F.col("x"))).alias(name) for name in wanted])
+    return whole.join(both, whole["stage"].eqNullSafe(both["stage"]), "left").select(whole["stage"], "spans", "mean", "median", "p95", "longest")
 
 
 def trace_windows(spans: DataFrame, window: str = "1 hour", late: str | None = None) -> DataFrame:

@@ -19,26 +19,36 @@ def cjk_bigrams(text: Column | str) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
 
 
-def bm25_search(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tokenize=tokens, digits: int = 6) -> DataFrame:
+#: Distinct terms of all queries up to which their list is broadcast (about 64 bytes each).
+BROADCAST_TERMS = 1_000_000
+
+
+def bm25_search(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tokenize=tokens, digits: int = 6, most_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(query_id, chunk_id, score, rank) of queries (query_id, query) over corpus (chunk_id, content).
 
     Okapi: idf = ln((N - n + 0.5) / (n + 0.5)), a negative one is epsilon times the mean idf; a term
-    counts as often as the query has it. Only postings of query terms are shuffled on; counts that
-    the score needs (N, mean length, mean idf) come from the whole corpus.
+    counts as often as the query has it. Counts that the score needs (N, mean length, mean idf) come from
+    the whole corpus, by sums within each task; of the postings only those of query terms are shuffled.
+    The postings of a chunk then stay together, so scores need no further shuffle but that of the k best.
     """
     terms = queries.select("query_id", F.explode(tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("repeats"))
     words = corpus.select("chunk_id", tokenize("content").alias("words")).where("chunk_id IS NOT NULL AND words IS NOT NULL")
     size = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words").cast("double")).alias("mean_length"))
-    postings = words.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(size)).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean_length")
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
+    vocabulary = terms.select("term").distinct()
+    small = (lambda x: F.broadcast(x)) if vocabulary.count() <= most_terms else (lambda x: x)
     weights = (
-        idf.join(terms.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean))
+        idf.join(small(vocabulary), "term", "left_semi").join(F.broadcast(mean))
         .select("term", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "mean_length")
     )
-    wanted = postings.join(weights, "term")
-    part = F.col("repeats") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    # one row per query and chunk: contributions are summed on the map side first
-    scores = wanted.join(terms, "term").select("query_id", "chunk_id", part.alias("part")).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), digits).alias("score"))
+    # one row per query term: its weight, and the queries that ask for it
+    asked = weights.join(terms.groupBy("term").agg(F.collect_list(F.struct("query_id", "repeats")).alias("queries")), "term")
+    found = words.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("term")).join(small(vocabulary), "term", "left_semi")
+    postings = found.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    together = postings.groupBy("chunk_id", "length").agg(F.collect_list(F.struct("term", "tf")).alias("p")).select("chunk_id", "length", F.explode("p").alias("p")).select("chunk_id", "length", "p.*")
+    part = F.col("q.repeats") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    pairs = together.join(small(asked), "term").select("*", F.explode("queries").alias("q")).select("chunk_id", "q.query_id", part.alias("part"))
+    scores = pairs.groupBy("chunk_id", "query_id").agg(F.round(F.sum("part"), digits).alias("score")).select("query_id", "chunk_id", "score")
     return top_k(scores, k)

@@ -24,9 +24,14 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", score: str = "scor
 
 
 def _block(part: pa.RecordBatch | pa.Table) -> dict:
-    """One row (ids, matrix): float64 rows of the vectors."""
-    ids, vectors = part.column(0).to_pylist(), part.column(1).to_pylist()
-    return {"ids": pa.array([ids], pa.list_(pa.int64())), "matrix": [np.array(vectors, np.float64).tobytes()]}
+    """One row (ids, matrix): float64 rows of the vectors, taken from the Arrow buffers."""
+    ids, vectors = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (part.column(0), part.column(1)))
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return {"ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(pa.int64())), "matrix": [flat.tobytes()]}
+
+
+#: Bytes of query blocks up to which they are broadcast, and the number of copies beyond that.
+BROADCAST_BYTES, SALTS = 64 << 20, 64
 
 
 def _rows(vectors: DataFrame, ids: str, vector: str) -> DataFrame:
@@ -38,13 +43,14 @@ METRICS = ("cosine", "ip", "l2")
 
 def vector_search(
     queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding",
-    exclude_self: bool = False, digits: int = 6, block: int = 2048,
+    exclude_self: bool = False, digits: int = 6, block: int = 2048, limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest rows of every query among all rows.
 
     Both sides become blocks of rows; every block of queries meets every block of the corpus in one
     matrix product, which keeps the k best of each query, so k rows per query and block are shuffled.
-    Scores are rounded before ranking, ties go to the smaller id. l2 gives 1 - squared distance.
+    Query blocks are broadcast up to `limit_bytes`; beyond that each one meets SALTS parts of the corpus in
+    as many tasks. Scores are rounded before ranking, ties go to the smaller id. l2 gives 1 - squared distance.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
@@ -65,15 +71,15 @@ def vector_search(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_matrix, ids, matrix in zip(*(batch.column(n).to_pylist() for n in ("q_ids", "q_matrix", "ids", "matrix")), strict=True):
-                left, right = (np.frombuffer(m, np.float64).reshape(len(i), -1) for m, i in ((q_matrix, q_ids), (matrix, ids)))
+            for i in range(batch.num_rows):
+                q_ids, ids = (batch.column(n)[i].values.to_numpy() for n in ("q_ids", "ids"))
+                left, right = (np.frombuffer(batch.column(n)[i].as_buffer(), np.float64).reshape(len(of), -1) for n, of in (("q_matrix", q_ids), ("matrix", ids)))
                 score = left @ right.T
                 if metric == "cosine":
                     score = score / np.maximum(np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1), 1e-300)
                 elif metric == "l2":
                     score = 1 - ((left**2).sum(1)[:, None] - 2 * score + (right**2).sum(1))
                 score = np.round(score, digits)
-                q_ids, ids = np.array(q_ids), np.array(ids)
                 if exclude_self:
                     score[q_ids[:, None] == ids] = -np.inf
                 order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
@@ -82,8 +88,14 @@ def vector_search(
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q_ids, found.sum(1)), "chunk_id": ids[order][found], "score": best[found]})
 
     # an equi-join on the number of the query block: each corpus block is copied once per query block
-    pairs = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "block")
-    return top_k(pairs.drop("block").mapInArrow(search, "query_id long, chunk_id long, score double"), k)
+    c = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    size = q.agg(F.sum(F.octet_length("q_matrix") + 8 * F.size("q_ids"))).first()[0] or 0
+    if size <= limit_bytes:
+        pairs = c.join(F.broadcast(q), "block")
+    else:
+        salted = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = c.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).join(salted, ["block", "salt"])
+    return top_k(pairs.select("ids", "matrix", "q_ids", "q_matrix").mapInArrow(search, "query_id long, chunk_id long, score double"), k)
 
 
 def resolve_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:

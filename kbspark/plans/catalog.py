@@ -87,6 +87,12 @@ def list_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.list_docs(docs, "EN", metadata={"part": 2}).select("kb_name", "file_name", "seq", "content")
 
 
+@query(f"WITH {LINES} SELECT kb_name, file AS file_name, seq, content FROM l WHERE kb_name ILIKE 'E_' AND file ILIKE 'SRC1%/doc\\_%5.TXT' ESCAPE '\\'")
+def list_docs_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines(spark, sf_dir).withColumnRenamed("file", "file_name")
+    return catalog.list_docs(docs, "E_", r"SRC1%/doc\_%5.TXT", wildcards=True).select("kb_name", "file_name", "seq", "content")
+
+
 @query(f"WITH {LINES} SELECT kb_name, file AS file_name, count(*) AS docs FROM l WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0 GROUP BY ALL")
 def delete_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of every third document go, from files and documents."""

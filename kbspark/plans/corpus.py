@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kbspark.functions import columns
 from kbspark.operators import chunks, retrieve
 from kbspark.plans.base import CORPUS, LINES, corpus, lines, query
-from kbspark.sources.io import table
+from kbspark.sources.io import shared_folder, table
 from kbspark.streaming.index import IndexStream
 
 LOADERS = ((".pptx", "slides"), (".pdf", "pages"), (".docx", "blocks"), (".doc", "blocks"))
@@ -52,7 +52,13 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.explode(columns.sentences("text")).alias("sentence")).groupBy("doc_id", "sentence").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINES}, n AS (SELECT kb_name, file, seq, content, length(content) AS n FROM l),
+g AS (SELECT file, seq, 0 AS place, n AS len, n < 80 AS growing FROM n WHERE seq = 0
+  UNION ALL SELECT n.file, n.seq, CASE WHEN growing AND len < 160 THEN place ELSE place + 1 END, CASE WHEN growing AND len < 160 THEN len + 1 + n ELSE n END, CASE WHEN growing AND len < 160 THEN growing ELSE n < 80 END
+  FROM g JOIN n ON n.file = g.file AND n.seq = g.seq + 1),
+z AS (SELECT file, max(place) AS last, arg_max(len, seq) AS last_len FROM g GROUP BY file)
+SELECT kb_name, file, (CASE WHEN place = last AND last > 0 AND last_len < 80 THEN place - 1 ELSE place END)::INT AS seq, string_agg(content, chr(10) ORDER BY g.seq) AS content
+FROM g JOIN z USING (file) JOIN n USING (file, seq) GROUP BY ALL""")
 def merge_small_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.merge_small_chunks(lines(spark, sf_dir))
 
@@ -117,7 +123,7 @@ def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks.source_ids(lines(spark, sf_dir))
     store = rows.where("doc_id % 2 = 0").select("source", "seq", "content")
     new = rows.where("doc_id % 3 = 0").select("source", "seq", F.concat("content", F.lit("!")).alias("content"))
-    return chunks.upsert_chunks(store, new)
+    return chunks.upsert_chunks(store, new, ("source",))
 
 
 @query(f"WITH {LINES} SELECT md5(file) AS source, seq, content FROM l WHERE doc_id % 5 <> 0")
@@ -125,7 +131,31 @@ def delete_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth file is deleted."""
     rows = chunks.source_ids(lines(spark, sf_dir))
     gone = chunks.source_ids(corpus(spark, sf_dir)).where("doc_id % 5 = 0")
-    return chunks.delete_chunks(rows.select("source", "seq", "content"), gone)
+    return chunks.delete_chunks(rows.select("source", "seq", "content"), gone, ("source",))
+
+
+#: Four documents share a file name, mostly in several bases.
+SHARED_FILES = f"""{LINES}, s AS (SELECT doc_id, kb_name, 'f' || doc_id // 4 AS file, seq, content FROM l)"""
+
+
+def shared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = F.concat(F.lit("f"), F.floor(F.col("doc_id") / 4).cast("string"))
+    return chunks.source_ids(lines(spark, sf_dir).withColumn("file", file)).select("doc_id", "kb_name", "source", "seq", "content")
+
+
+@query(f"""WITH {SHARED_FILES}, n AS (SELECT * FROM s WHERE doc_id % 3 = 0)
+SELECT doc_id, kb_name, md5(file) AS source, seq, content FROM s WHERE doc_id % 2 = 0 AND (kb_name, file) NOT IN (SELECT kb_name, file FROM n)
+UNION ALL SELECT doc_id, kb_name, md5(file), seq, content || '!' FROM n""")
+def upsert_chunks_by_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one name in several bases: only those of the base that arrives are replaced."""
+    rows = shared_files(spark, sf_dir)
+    return chunks.upsert_chunks(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 3 = 0").withColumn("content", F.concat("content", F.lit("!"))))
+
+
+@query(f"WITH {SHARED_FILES} SELECT doc_id, kb_name, md5(file) AS source, seq, content FROM s WHERE (kb_name, file) NOT IN (SELECT kb_name, file FROM s WHERE doc_id % 5 = 0)")
+def delete_chunks_by_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shared_files(spark, sf_dir)
+    return chunks.delete_chunks(rows, rows.where("doc_id % 5 = 0"))
 
 
 @query("""WITH t AS (SELECT doc_id AS query_id, list_concat([source], string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))) AS q FROM documents)
@@ -144,7 +174,7 @@ def hyde_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive as a stream of files, every fifth one a second time with another text; the result is the chunk table."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     docs = corpus(spark, sf_dir).withColumn("arrival", F.lit(0))
     again = docs.where("doc_id % 5 = 0").withColumns({"text": F.concat("text", F.lit("\nSecond arrival.")), "arrival": F.lit(1)})
     docs.write.parquet(f"{root}/in")

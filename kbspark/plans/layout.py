@@ -50,6 +50,15 @@ def tag_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.tag_headings(given).select("file", "seq", "text")
 
 
+@query(f"""WITH {LINES}, t AS (SELECT file, seq, CASE seq % 4 WHEN 0 THEN '三、' WHEN 1 THEN '（四）' ELSE '' END || content AS text, seq * 7 % 40 AS size FROM l)
+SELECT file, seq, CASE WHEN size >= 30 OR starts_with(text, '三、') THEN '# ' WHEN starts_with(text, '（四）') THEN '## ' ELSE '' END || text AS text FROM t""")
+def tag_policy_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("seq") % 4
+    text = F.concat(F.when(k == 0, "三、").when(k == 1, "（四）").otherwise(""), "content")
+    given = lines(spark, sf_dir).select("file", "seq", text.alias("text"), (F.col("seq") * 7 % 40).alias("font_size"))
+    return layout.tag_headings(given, "policy").select("file", "seq", "text")
+
+
 @query(f"""WITH {LINES}, t AS (SELECT file, seq, CASE seq % 7 WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 5 THEN 2 ELSE 0 END AS lvl, 't' || seq AS title, content FROM l),
 m AS (SELECT *, max(CASE WHEN lvl = 1 THEN seq END) OVER w AS p1, max(CASE WHEN lvl = 2 THEN seq END) OVER w AS p2, max(CASE WHEN lvl = 4 THEN seq END) OVER w AS p4 FROM t WINDOW w AS (PARTITION BY file ORDER BY seq ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT file, seq, content, concat_ws('-', CASE WHEN p1 IS NOT NULL THEN 't' || p1 END, CASE WHEN p2 > coalesce(p1, -1) THEN 't' || p2 END, CASE WHEN p4 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN 't' || p4 END) AS path

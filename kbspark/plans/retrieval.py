@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import evaluate, keywords, prompts, retrieve, vectors
 from kbspark.plans.base import query
-from kbspark.sources.io import read_eval, table, write_eval
+from kbspark.sources.io import read_eval, shared_folder, table, write_eval
 
 #: Queries of a search: every row whose id is divisible by 20, and its next neighbour's vector as a variant.
 VECTORS = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
@@ -120,6 +120,20 @@ def retrieve_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.context_filter(fused, 0.03).select("query_id", "content", F.round("score", 9).alias("score"), "rank")
 
 
+@query(f"""WITH {VECTORS}, h AS (SELECT query_id, chunk_id, CASE WHEN chunk_id % 11 <> 0 THEN score END AS score FROM hits)
+SELECT query_id AS question_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, chunk_id) AS place FROM h""")
+def sort_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hits(spark, sf_dir).select(F.col("query_id").alias("question_id"), "chunk_id", F.when(F.col("chunk_id") % 11 != 0, F.col("score")).alias("score"))
+    return evaluate.sort_by_similarity(found)
+
+
+@query("SELECT doc_id AS id, text AS question FROM documents WHERE doc_id IN (SELECT item_id * 3 FROM benchmark)")
+def select_listed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose ids stand in a table."""
+    questions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"))
+    return evaluate.select_questions(questions, table(spark, sf_dir, "benchmark").select((F.col("item_id") * 3).alias("id")))
+
+
 #: Okapi weights by joins and grouping; every passage of benchmark against every document.
 BM25 = r"""tok AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda x: x <> '') AS words FROM documents WHERE text IS NOT NULL),
 stat AS (SELECT count(*) AS n_docs, avg(len(words)) AS mean_length FROM tok),
@@ -229,7 +243,7 @@ def build_eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EVAL_SET)
 def write_eval_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation set through a JSON file."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/eval-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/eval-{uuid.uuid4().hex}"
     write_eval(eval_set(spark, sf_dir), path)
     back = read_eval(spark, path, "question_id STRING, question STRING, answer STRING, context ARRAY<STRING>")
     return back.withColumn("context", F.array_join("context", "\u0001"))

@@ -15,6 +15,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return folder.rstrip("/")
+
+
 def list_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """A row per file below a folder, contents not read: path, file, size, modified."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

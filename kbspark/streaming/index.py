@@ -6,46 +6,62 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kbspark.operators.chunks import chunk_corpus
+from kbspark.operators.chunks import FILE, chunk_corpus
 from kbspark.operators.evaluate import trace_windows
 
 
-def last_arrivals(batch: DataFrame, key: str = "file", order: str = "arrival") -> DataFrame:
-    """The last arrival of each file in a batch."""
-    last = Window.partitionBy(key).orderBy(F.desc(order))
+def last_arrivals(batch: DataFrame, key: tuple[str, ...] = FILE, order: str = "arrival") -> DataFrame:
+    """The last arrival of each file of a base in a batch."""
+    last = Window.partitionBy(*key).orderBy(F.desc(order))
     return batch.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 
 
 class IndexStream:
-    """Chunks of newly arrived documents (kb_name, file, text, arrival), kept as a table of versions.
+    """Chunks of newly arrived documents (kb_name, file, text, arrival), in buckets by base and file.
 
-    Every micro-batch writes version n from version n - 1, so a repeated batch writes the same again
-    and no path is read and overwritten in one plan. Rows without file or text are set aside.
+    A micro-batch rewrites the buckets that its files fall into, under a path of its own, and then
+    writes manifest n: which batch holds each bucket. So a batch costs what its buckets hold, a
+    repeated batch writes the same again, and no path is read and overwritten in one plan. Rows
+    without file or text are set aside.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, **options):
-        self.spark, self.folder, self.options = spark, folder, options
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 256, **options):
+        self.spark, self.folder, self.buckets, self.options = spark, folder, buckets, options
 
-    def _path(self, version: int) -> str:
-        return f"{self.folder}/chunks/version={version}"
+    def _manifest(self, number: int) -> dict[int, int]:
+        """Bucket -> batch that wrote it last; at most `buckets` rows."""
+        if number < 0:
+            return {}
+        return {r["bucket"]: r["batch"] for r in self.spark.read.parquet(f"{self.folder}/manifest/batch={number}").collect()}
+
+    def _read(self, held: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.folder}/chunks/batch={batch}/bucket={bucket}" for bucket, batch in sorted(held.items())]
+        return self.spark.read.option("basePath", f"{self.folder}/chunks").parquet(*paths).drop("batch", "bucket") if paths else None
 
     def apply(self, batch: DataFrame, number: int) -> None:
         bad = F.col("file").isNull() | F.col("text").isNull()
+        bucket = F.pmod(F.xxhash64(*FILE), F.lit(self.buckets)).cast("int")
         batch.where(bad).write.mode("overwrite").parquet(f"{self.folder}/rejects/batch={number}")
         new = chunk_corpus(last_arrivals(batch.where(~bad)).select("kb_name", "file", "text"), **self.options)
-        arrived = batch.where(~bad).select("kb_name", "file").distinct()
-        if number:
-            old = self.spark.read.parquet(self._path(number - 1))
-            kept = old.join(arrived, ["kb_name", "file"], "left_anti")
-            new = kept.unionByName(new)
-        new.write.mode("overwrite").parquet(self._path(number))
+        arrived = batch.where(~bad).select(*FILE).distinct()
+        touched = {r[0] for r in arrived.select(bucket).distinct().collect()}
+        held = self._manifest(number - 1)
+        old = self._read({k: v for k, v in held.items() if k in touched})
+        if old is not None:
+            new = old.join(arrived, list(FILE), "left_anti").unionByName(new)
+        path = f"{self.folder}/chunks/batch={number}"
+        new.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        written = {r[0] for r in self.spark.read.schema("bucket int").parquet(path).distinct().collect()} if touched else set()
+        now = {k: v for k, v in held.items() if k not in touched} | dict.fromkeys(written, number)
+        self.spark.createDataFrame(sorted(now.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/batch={number}")
 
     def run(self, source: DataFrame) -> StreamingQuery:
         """Process what is there and stop; a later call goes on from the checkpoint."""
         return source.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(self.apply).start()
 
     def chunks(self, number: int) -> DataFrame:
-        return self.spark.read.parquet(self._path(number))
+        """All chunks after a batch that has left any."""
+        return self._read(self._manifest(number))
 
 
 def latency_stream(spans: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:

@@ -44,7 +44,8 @@ def test_split_rules():
     assert text.split_recursive("甲" * 5 + "。" + "乙" * 5 + "。", size=6, overlap=0) == ["甲" * 5, "。" + "乙" * 5, "。"]
     assert text.split_recursive("a" * 30, size=10) == ["a" * 30]
     assert text.split_characters("ab cd ef", size=5) == ["ab cd", "ef"]
-    assert text.fill(["aaa", "bbb", "ccc"], 6, 3) == ["aaabbb", "bbbccc"]
+    assert text.packed_spans([0, 3, 6, 9], 6, 3) == [(0, 6), (3, 9)]
+    assert text.splitter("no such name")("甲。「乙。」丙！丁") == text.split_sentences("甲。「乙。」丙！丁") == ["甲。「乙。」", "丙！", "丁"]
     assert text.split_characters("x" * 25, size=10) == ["x" * 10, "x" * 10, "x" * 5]
 
 
@@ -101,7 +102,7 @@ def test_chunk_corpus(spark):
 
 def test_neighbors_and_metadata(spark):
     df = spark.createDataFrame([("f", i, f"c{i}") for i in range(5)], "file string, seq int, content string")
-    got = {r["seq"]: r["context"] for r in chunks.neighbor_context(df).collect()}
+    got = {r["seq"]: r["context"] for r in chunks.neighbor_context(df, ("file",)).collect()}
     assert got[0] == "c0\n\nc1\n\nc2" and got[2] == "c0\n\nc1\n\nc2\n\nc3\n\nc4" and got[4] == "c2\n\nc3\n\nc4"
     meta = spark.createDataFrame([("f.txt", {"page": "1", "text": "gone", "source": "x"}), ("g", None)], "file string, metadata map<string,string>")
     found = {r["file"]: r["metadata"] for r in chunks.normalize_metadata(meta).collect()}
@@ -382,3 +383,46 @@ def test_latency_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert rows(spark.table("lat")) == rows(evaluate.trace_windows(spans))
+
+
+def test_unknown_splitter_cuts_sentences(spark):
+    df = spark.createDataFrame([("k", "a.txt", "甲。乙！丙")], "kb_name string, file string, text string")
+    assert [r["content"] for r in chunks.chunk_corpus(df, "no such name", least=None).orderBy("seq").collect()] == ["甲。", "乙！", "丙"]
+    assert [r["content"] for r in chunks.split_texts(df, splitter="sentences", size=2).orderBy("seq").collect()] == ["甲。", "乙！", "丙"]
+
+
+def test_bases_that_share_a_file_name(spark, tmp_path):
+    """Upserts, deletes, arrivals, merging and neighbours keep the bases apart."""
+    schema = "kb_name string, file string, source string, seq int, content string"
+    store = spark.createDataFrame([("kb1", "a.txt", "x", 0, "old"), ("kb2", "a.txt", "x", 0, "other")], schema)
+    new = spark.createDataFrame([("kb1", "a.txt", "x", 0, "new")], schema)
+    assert {(r["kb_name"], r["content"]) for r in chunks.upsert_chunks(store, new).collect()} == {("kb1", "new"), ("kb2", "other")}
+    assert {r["kb_name"] for r in chunks.delete_chunks(store, new).collect()} == {"kb2"}
+    assert {(r["kb_name"], r["content"]) for r in chunks.merge_small_chunks(store).collect()} == {("kb1", "old"), ("kb2", "other")}
+    assert {(r["kb_name"], r["context"]) for r in chunks.neighbor_context(store).collect()} == {("kb1", "old"), ("kb2", "other")}
+    batch = spark.createDataFrame([(k, "a.txt", f"{k} text", i) for i, k in enumerate(("kb1", "kb2", "kb1"))], "kb_name string, file string, text string, arrival int")
+    assert sorted((r["kb_name"], r["arrival"]) for r in last_arrivals(batch).collect()) == [("kb1", 2), ("kb2", 1)]
+    index = IndexStream(spark, str(tmp_path / "index"), buckets=3)
+    index.apply(batch, 0)
+    index.apply(batch.where("kb_name = 'kb1'").withColumn("text", F.lit("later")), 1)
+    index.apply(batch.where("kb_name = 'kb2'").withColumn("text", F.lit("")), 2)
+    assert {(r["kb_name"], r["content"]) for r in index.chunks(1).collect()} == {("kb1", "later"), ("kb2", "kb2 text")}
+    assert {(r["kb_name"], r["content"]) for r in index.chunks(2).collect()} == {("kb1", "later")}
+
+
+def test_search_with_spread_query_blocks(spark):
+    """Query blocks over the limit are copied to parts of the corpus in place of a broadcast."""
+    rows = spark.createDataFrame([(i, [float((i * 7 + k) % 11) for k in range(4)]) for i in range(200)], "id long, embedding array<float>")
+    q, c = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "chunk_id")
+    want = sorted(map(tuple, vectors.vector_search(q, c, 5).collect()))
+    assert sorted(map(tuple, vectors.vector_search(q, c, 5, limit_bytes=0, block=3).collect())) == want and len(want) == 50
+
+
+def test_percentiles_of_a_heavy_stage(spark):
+    import numpy as np
+
+    values = [float(i * 7919 % 30_011) ** 1.5 for i in range(30_000)]
+    df = spark.createDataFrame([("big", x) for x in values] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)], "stage string, elapsed double")
+    got = {r["stage"]: (r["spans"], r["median"], r["p95"]) for r in evaluate.trace_latency(df).collect()}
+    assert got["big"] == pytest.approx((30_000, np.percentile(values, 50), np.percentile(values, 95)))
+    assert got["one"] == (1, 3.0, 3.0) and got["two"] == pytest.approx((2, 1.5, 1.95)) and got["none"] == (1, None, None)
