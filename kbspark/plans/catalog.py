@@ -118,21 +118,21 @@ def plan_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graph ---
 
-#: Nested records: one per document, names repeat every 997 documents.
-RECORDS = """p AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w, left(text, 40) AS head FROM documents),
-r AS (SELECT doc_id, 'd' || doc_id % 997 AS name, head, w[1:doc_id % 4] AS dep, w[5:7] AS sym, w[8:9] AS drug, CASE WHEN len(w) > 10 THEN [w[10] || '(' || w[11] || ')'] ELSE [] END AS det FROM p)"""
+#: Nested records: one per document, of its whole text; names repeat every 997 documents. Words take turns as symptoms, drugs and details.
+RECORDS = """p AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w, text AS head FROM documents),
+r AS (SELECT doc_id, 'd' || doc_id % 997 AS name, head, w[1:doc_id % 4] AS dep, list_filter(w, lambda x, i: i % 3 = 1) AS sym, list_filter(w, lambda x, i: i % 3 = 2) AS drug,
+  list_transform(list_filter(w, lambda x, i: i % 3 = 0), lambda x: x || '(' || length(x) || ')') AS det FROM p)"""
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.filter(F.split("text", " ", -1), lambda x: x != "")
-    part = lambda a, n: F.slice("w", F.lit(a), n if not isinstance(n, int) else F.lit(n))
-    empty = F.array().cast("array<string>")
-    rows = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"), F.left("text", F.lit(40)).alias("desc"))
-    detail = F.when(F.size("w") > 10, F.array(F.concat(F.get("w", F.lit(9)), F.lit("("), F.get("w", F.lit(10)), F.lit(")")))).otherwise(empty)
+    every = lambda k: F.filter("w", lambda x, i: i % 3 == k)
+    rows = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"), F.col("text").alias("desc"))
+    detail = F.transform(every(2), lambda x: F.concat(x, F.lit("("), F.char_length(x).cast("string"), F.lit(")")))
     null = F.lit(None).cast("string")
     return rows.select(
         F.col("doc_id").alias("line_no"), F.concat(F.lit("d"), (F.col("doc_id") % 997).cast("string")).alias("name"), "desc", null.alias("prevent"), null.alias("cause"), null.alias("cure_lasttime"), null.alias("cured_prob"),
-        part(1, (F.col("doc_id") % 4).cast("int")).alias("cure_department"), part(5, 3).alias("symptom"), part(8, 2).alias("common_drug"), detail.alias("drug_detail"),
+        F.slice("w", F.lit(1), (F.col("doc_id") % 4).cast("int")).alias("cure_department"), every(0).alias("symptom"), every(1).alias("common_drug"), detail.alias("drug_detail"),
         *[F.lit(None).cast("array<string>").alias(c) for c in ("acompany", "cure_way", "recommand_drug", "not_eat", "do_eat", "recommand_eat", "check")],
     )
 

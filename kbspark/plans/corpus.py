@@ -75,11 +75,11 @@ def small_to_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, i AS (SELECT *, sha256(concat_ws(chr(1), kb_name, file, 'text', seq, content)) AS parent_id FROM l)
-SELECT kb_name, file, parent_id, seq, left(content, 20) AS content, 'text summary' AS multi_vector_type,
-  sha256(concat_ws(chr(1), parent_id, 'text summary', seq, left(content, 20))) AS chunk_id FROM i""")
+SELECT kb_name, file, parent_id, seq, 'Summary: ' || content AS content, 'text summary' AS multi_vector_type,
+  sha256(concat_ws(chr(1), parent_id, 'text summary', seq, 'Summary: ' || content)) AS chunk_id FROM i""")
 def summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = lines(spark, sf_dir).withColumn("chunk_id", columns.chunk_id("kb_name", "file", F.lit("text"), "seq", "content"))
-    return chunks.summary_rows(big, F.left("content", F.lit(20)))
+    return chunks.summary_rows(big, F.concat(F.lit("Summary: "), "content"))
 
 
 @query(f"""WITH {LINES} SELECT file, seq, string_agg(content, chr(10) || chr(10)) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM l""")

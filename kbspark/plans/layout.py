@@ -124,10 +124,10 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {WORDS}, b AS (SELECT file, pos // 200 AS page, pos, (pos * 37 + doc_id * 11) % 600 AS x0 FROM w)
-SELECT file, page::INT AS page, CASE WHEN avg(CASE WHEN pos % 2 = 0 AND x0 + 10 > 420 THEN 1.0 ELSE 0.0 END) FILTER (pos % 2 = 0) > 0.4 THEN 2 ELSE 1 END AS columns FROM b GROUP BY ALL""")
+SELECT file, page::INT AS page, CASE WHEN avg(CASE WHEN x0 + 10 > 420 THEN 1.0 ELSE 0.0 END) > 0.4 THEN 2 ELSE 1 END AS columns FROM b GROUP BY ALL""")
 def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_words = boxes(spark, sf_dir)
-    return layout.page_columns(all_words.select("file", "page"), all_words.where("word_no % 2 = 0"))
+    return layout.page_columns(all_words.select("file", "page"), all_words)
 
 
 @query()

@@ -222,17 +222,17 @@ def low_score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.low_score_report(found)
 
 
-EVAL_SET = """SELECT q.source AS question_id, q.question, a.answer, k.context FROM
-(SELECT source, min(lang) AS question FROM documents GROUP BY 1) q LEFT JOIN (SELECT source, max(doc_id)::VARCHAR AS answer FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) a USING (source)
-JOIN (SELECT source, string_agg(left(text, 30), chr(1) ORDER BY doc_id) AS context FROM documents JOIN labels USING (doc_id) GROUP BY 1) k USING (source)"""
+EVAL_SET = f"""WITH {RERANKED}, k AS (SELECT query_id, string_agg(content, chr(1) ORDER BY rank) AS context FROM rr GROUP BY query_id)
+SELECT item_id AS question_id, text AS question, CASE WHEN item_id % 2 = 0 THEN item_id::VARCHAR END AS answer, coalesce(context, '') AS context FROM benchmark LEFT JOIN k ON item_id = query_id"""
 
 
 def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    questions = docs.groupBy(F.col("source").alias("question_id")).agg(F.min("lang").alias("question"))
-    answers = docs.where("doc_id % 2 = 0").groupBy(F.col("source").alias("question_id")).agg(F.max("doc_id").cast("string").alias("answer"))
-    contexts = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("source").alias("question_id"), F.col("doc_id").alias("rank"), F.left("text", F.lit(30)).alias("content"))
-    return evaluate.build_eval_set(questions, answers, contexts).where(F.size("context") > 0)
+    """Every benchmark item with the whole texts of its best hits: lists are bounded by the cut of the search; without hits they are empty."""
+    items = table(spark, sf_dir, "benchmark")
+    questions = items.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    answers = items.where("item_id % 2 = 0").select(F.col("item_id").alias("question_id"), F.col("item_id").cast("string").alias("answer"))
+    contexts = reranked(spark, sf_dir).select(F.col("query_id").alias("question_id"), "rank", "content")
+    return evaluate.build_eval_set(questions, answers, contexts)
 
 
 @query(EVAL_SET)
@@ -245,19 +245,13 @@ def write_eval_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation set through a JSON file."""
     path = f"{shared_folder(spark)}/eval-{uuid.uuid4().hex}"
     write_eval(eval_set(spark, sf_dir), path)
-    back = read_eval(spark, path, "question_id STRING, question STRING, answer STRING, context ARRAY<STRING>")
+    back = read_eval(spark, path, "question_id BIGINT, question STRING, answer STRING, context ARRAY<STRING>")
     return back.withColumn("context", F.array_join("context", "\u0001"))
 
 
-@query(f"""WITH {RERANKED}, k AS (SELECT query_id, string_agg(content, chr(1) ORDER BY rank) AS context FROM rr GROUP BY query_id)
-SELECT item_id AS question_id, text AS question, CASE WHEN item_id % 2 = 0 THEN item_id::VARCHAR END AS answer, coalesce(context, '') AS context FROM benchmark LEFT JOIN k ON item_id = query_id""")
+@query(EVAL_SET)
 def build_eval_set_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item with the whole texts of its best hits: lists are bounded by the cut of the search; without hits they are empty."""
-    items = table(spark, sf_dir, "benchmark")
-    questions = items.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    answers = items.where("item_id % 2 = 0").select(F.col("item_id").alias("question_id"), F.col("item_id").cast("string").alias("answer"))
-    contexts = reranked(spark, sf_dir).select(F.col("query_id").alias("question_id"), "rank", "content")
-    return evaluate.build_eval_set(questions, answers, contexts).withColumn("context", F.array_join("context", "\u0001"))
+    return build_eval_set(spark, sf_dir)
 
 
 @query("""WITH v AS (SELECT source AS q, doc_id AS rank, quality AS v, toxic FROM documents JOIN labels USING (doc_id)),
