@@ -205,11 +205,11 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     k = len(part)
                     yield {"rep": [rep] * k, "component": [component] * k, "n": [len(s)] * k, "x": part}
 
-    items = map_columns(rows.join(texts, "rep"), shingle, "rep long, component long, n long, x long")
+    items = stored(map_columns(rows.join(texts, "rep"), shingle, "rep long, component long, n long, x long"), "items")
     seen = items.groupBy("x").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high"))
     # elements of one component alone match nothing here: they stand first in the order and do not travel on
     order = F.array_sort(F.collect_list(F.struct((F.col("low") != F.col("high")).alias("shared"), "f", "x")))
-    per = items.join(seen, "x").groupBy("rep", "component", "n").agg(order.alias("s"))
+    per = skew_join(items, stored(seen, "seen"), ["x"]).groupBy("rep", "component", "n").agg(order.alias("s"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     prefix = per.select("rep", "component", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("place", "e")).where("e.shared").select("rep", "component", "n", "place", F.col("e.x").alias("x"))
     prefix = stored(prefix, "prefix")
@@ -221,9 +221,10 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     # rows whose place is out of reach for the smallest partner that the element offers, then elements left to one component
     least = prefix.groupBy("x").agg(F.min("n").alias("n_min"))
     smallest = F.greatest(F.col("n_min"), F.ceil(F.col("n") * percent / 100))
-    useful = prefix.join(least, "x").where(F.col("place") < reach(F.col("n"), smallest)).drop("n_min")
+    useful = skew_join(prefix, least, ["x"]).where(F.col("place") < reach(F.col("n"), smallest)).drop("n_min")
+    useful = stored(useful, "reached")
     both = useful.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("x")
-    useful = stored(useful.join(both, "x", "left_semi"), "useful")
+    useful = stored(skew_join(useful, both, ["x"]), "useful")
     left, right = (useful.select("x", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "place")]) for side in "ab")
     close = (
         (F.col("component_a") < F.col("component_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
