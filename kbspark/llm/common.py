@@ -70,6 +70,22 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot: int = HOT)
     return left.join(F.broadcast(heavy), on, "left_anti").join(right, on).unionByName(left.join(F.broadcast(few), on))
 
 
+#: Tasks that the rows of one key are dealt over in with_totals.
+SALTS = 64
+
+
+def with_totals(rows: DataFrame, key: str, dealt_by: str, parts: list, totals: list, having: str = "true") -> DataFrame:
+    """`rows` beside totals of their key, where one key may hold most rows; rows of keys that fail `having` go.
+
+    A key's rows are dealt over SALTS tasks by another column. `parts` aggregate a (key, salt), `totals` merge
+    these, so a key gives SALTS rows at most, and the totals return only to the salts that the key occurs in.
+    `rows` is read twice, so it should be a stored table.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(dealt_by), F.lit(SALTS)).cast("int"))
+    merged = salted.groupBy(key, "salt").agg(*parts).groupBy(key).agg(*totals, F.collect_list("salt").alias("salts")).where(having)
+    return salted.join(merged.withColumn("salt", F.explode("salts")).drop("salts"), [key, "salt"]).drop("salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import map_columns, maybe_broadcast, row_key, skew_join, stored
+from kbspark.llm.common import map_columns, maybe_broadcast, row_key, skew_join, stored, with_totals
 
 WORDS = 5
 #: Link: 100 * intersection >= PERCENT * union; STAGE_PERCENT where near duplicates are dropped.
@@ -205,11 +205,12 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     k = len(part)
                     yield {"rep": [rep] * k, "component": [component] * k, "n": [len(s)] * k, "x": part}
 
-    items = map_columns(rows.join(texts, "rep"), shingle, "rep long, component long, n long, x long")
-    seen = items.groupBy("x").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high"))
+    items = stored(map_columns(rows.join(texts, "rep"), shingle, "rep long, component long, n long, x long"), "items")
+    own, span = [F.min("component").alias("low"), F.max("component").alias("high")], [F.min("low").alias("low"), F.max("high").alias("high")]
+    seen = with_totals(items, "x", "rep", [F.count("*").alias("f"), *own], [F.sum("f").alias("f"), *span])
     # elements of one component alone match nothing here: they stand first in the order and do not travel on
     order = F.array_sort(F.collect_list(F.struct((F.col("low") != F.col("high")).alias("shared"), "f", "x")))
-    per = items.join(seen, "x").groupBy("rep", "component", "n").agg(order.alias("s"))
+    per = seen.groupBy("rep", "component", "n").agg(order.alias("s"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     prefix = per.select("rep", "component", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("place", "e")).where("e.shared").select("rep", "component", "n", "place", F.col("e.x").alias("x"))
     prefix = stored(prefix, "prefix")
@@ -219,11 +220,10 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         return n - F.ceil((n + other) * percent / (100 + percent)) + 1
 
     # rows whose place is out of reach for the smallest partner that the element offers, then elements left to one component
-    least = prefix.groupBy("x").agg(F.min("n").alias("n_min"))
     smallest = F.greatest(F.col("n_min"), F.ceil(F.col("n") * percent / 100))
-    useful = prefix.join(least, "x").where(F.col("place") < reach(F.col("n"), smallest)).drop("n_min")
-    both = useful.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("x")
-    useful = stored(useful.join(both, "x", "left_semi"), "useful")
+    offered = with_totals(prefix, "x", "rep", [F.min("n").alias("n_min")], [F.min("n_min").alias("n_min")])
+    reached = stored(offered.where(F.col("place") < reach(F.col("n"), smallest)).drop("n_min"), "reached")
+    useful = stored(with_totals(reached, "x", "rep", own, span, "low <> high").drop("low", "high"), "useful")
     left, right = (useful.select("x", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "n", "place")]) for side in "ab")
     close = (
         (F.col("component_a") < F.col("component_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
@@ -301,3 +301,23 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     k1, k2 = row_key(doc_id, text)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2"))
     return rows.join(maybe_broadcast(gone, gone.count(), 32, limit_bytes), ["k1", "k2"], "left_anti").select("row.*")
+
+
+#: DuckDB SQL of near_duplicates with its defaults: all pairs that share a shingle, then reachability over the links.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM {documents}
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(words) - 3, 2)), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w
+), e AS MATERIALIZED (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS x FROM s
+), l AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a
+), c AS (
+  SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON s.doc_id = c.doc_id
+"""

@@ -62,4 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL.format(documents="documents") + "SELECT doc_id, text, n_lines, n_removed FROM t"}
+    return {
+        "op1_line_dedup": line_dedup.SQL.format(documents="documents") + "SELECT doc_id, text, n_lines, n_removed FROM t",
+        "op7_warc": warc.SQL.format(pages="pages"),
+        "op8_minhash": neardup.SQL.format(documents="documents"),
+    }

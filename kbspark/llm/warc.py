@@ -243,3 +243,17 @@ def warc_round_trip(pages: DataFrame, folder: str | None = None, **options) -> D
     if lost:
         raise ValueError(f"{lost['path']}: {lost['found']} of {lost['records']} records were read")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB SQL of warc_round_trip: base32 has 4 characters for 5 hexadecimal digits of the SHA-1.
+SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM {pages}
+), d AS (
+  SELECT page_id, first, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
