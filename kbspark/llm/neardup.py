@@ -235,7 +235,8 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def near_components(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the representatives that have a confirmed link."""
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    pivots = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
+    # stored, so that adaptive execution sees a plain shuffle on both sides and can split a large bucket
+    pivots = stored(rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "pivots")
     members = stored(rows.join(pivots, "bucket").where("rep > pivot").select("bucket", "pivot", "rep"), "members")
     pairs = stored(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     wanted = stored(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "wanted")
@@ -251,12 +252,14 @@ def near_components(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, pe
     far = 1 - percent / 100 + 1e-9
     scored = members.join(tested.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), is_link.alias("link"), (1 - F.col("inter") / F.col("union")).alias("d")), ["pivot", "rep"])
     scored = scored.join(comps.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    edge = scored.groupBy("bucket").agg(
+    scored = stored(scored.select("bucket", "rep", "link", "d", "c"), "scored")
+    parts = [
         F.max(F.when(F.col("link"), F.col("d"))).alias("near_max"), F.min(F.when(~F.col("link"), F.col("d"))).alias("far_min"),
         F.min(F.when(~F.col("link"), F.col("c"))).alias("low"), F.max(F.when(~F.col("link"), F.col("c"))).alias("high"),
-    ).where("far_min IS NOT NULL")
-    edge = edge.withColumn("borderline", F.coalesce(F.col("far_min") - F.col("near_max") <= far, F.lit(False))).where("borderline OR low <> high")
-    rest = scored.join(edge, "bucket").where(
+    ]
+    edges = with_totals(scored, "bucket", "rep", parts, [f(c).alias(c) for f, c in ((F.max, "near_max"), (F.min, "far_min"), (F.min, "low"), (F.max, "high"))], "far_min IS NOT NULL")
+    edges = edges.withColumn("borderline", F.coalesce(F.col("far_min") - F.col("near_max") <= far, F.lit(False)))
+    rest = edges.where(
         (F.col("link") & F.col("borderline") & (F.col("far_min") - F.col("d") <= far))
         | (~F.col("link") & ((F.col("low") != F.col("high")) | (F.col("borderline") & (F.col("d") - F.col("near_max") <= far))))
     ).select("rep", F.col("c").alias("component")).distinct()
