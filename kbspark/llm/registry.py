@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bitpack, bpe, lengths, line_dedup, media, neardup, packing, quality, toxicity, warc
+from kbspark.llm import bitpack, bpe, divergence, lengths, line_dedup, media, neardup, packing, quality, toxicity, warc
 from kbspark.llm.common import table
 
 
@@ -56,8 +56,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_media_chunks, op3_bit_packing, op4_best_fit_packing, op5_token_counts, op6_byte_bpe, op7_warc, op8_minhash, op9_toxicity, op10_quality)
+    own = (op1_line_dedup, op2_media_chunks, op3_bit_packing, op4_best_fit_packing, op5_token_counts, op6_byte_bpe, op7_warc, op8_minhash, op9_toxicity, op10_quality, op11_divergence)
     return {f.__name__: f for f in own}
 
 
@@ -65,5 +69,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.SQL.format(documents="documents") + "SELECT doc_id, text, n_lines, n_removed FROM t",
         "op7_warc": warc.SQL.format(pages="pages"),
+        "op11_divergence": divergence.SQL.format(documents="documents"),
         "op8_minhash": neardup.SQL.format(documents="documents"),
     }
