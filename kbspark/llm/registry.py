@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bitpack, bpe, divergence, lengths, line_dedup, media, neardup, packing, quality, toxicity, warc
+from kbspark.llm import bitpack, bpe, conversations, divergence, lengths, line_dedup, media, neardup, packing, quality, toxicity, warc
 from kbspark.llm.common import table
 
 
@@ -60,8 +60,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.repair_report(conversations.repair_conversations(damaged, there="there"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_media_chunks, op3_bit_packing, op4_best_fit_packing, op5_token_counts, op6_byte_bpe, op7_warc, op8_minhash, op9_toxicity, op10_quality, op11_divergence)
+    own = (op1_line_dedup, op2_media_chunks, op3_bit_packing, op4_best_fit_packing, op5_token_counts, op6_byte_bpe, op7_warc, op8_minhash, op9_toxicity, op10_quality, op11_divergence, op12_conversations)
     return {f.__name__: f for f in own}
 
 
@@ -70,5 +75,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": line_dedup.SQL.format(documents="documents") + "SELECT doc_id, text, n_lines, n_removed FROM t",
         "op7_warc": warc.SQL.format(pages="pages"),
         "op11_divergence": divergence.SQL.format(documents="documents"),
+        "op12_conversations": conversations.SQL.format(conversations="conversations"),
         "op8_minhash": neardup.SQL.format(documents="documents"),
     }
