@@ -38,9 +38,9 @@ IN_TERM = ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122)) | (
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
 
 
-def term_places(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of the terms of texts that stand one after another and end at `ends`."""
-    inside = IN_TERM[data]
+def term_places(data: np.ndarray, ends: np.ndarray, members: np.ndarray = IN_TERM) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the runs of member bytes in texts that stand one after another and end at `ends`."""
+    inside = members[data]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bitpack, bpe, conversations, divergence, lengths, line_dedup, media, neardup, packing, quality, toxicity, warc
+from kbspark.llm import bitpack, bpe, conversations, divergence, lengths, line_dedup, media, neardup, packing, quality, substrings, toxicity, warc
 from kbspark.llm.common import table
 
 
@@ -65,8 +65,13 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(conversations.repair_conversations(damaged, there="there"))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.drop_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_media_chunks, op3_bit_packing, op4_best_fit_packing, op5_token_counts, op6_byte_bpe, op7_warc, op8_minhash, op9_toxicity, op10_quality, op11_divergence, op12_conversations)
+    own = (op1_line_dedup, op2_media_chunks, op3_bit_packing, op4_best_fit_packing, op5_token_counts, op6_byte_bpe, op7_warc, op8_minhash, op9_toxicity, op10_quality, op11_divergence, op12_conversations, op13_substrings)
     return {f.__name__: f for f in own}
 
 
@@ -76,5 +81,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": warc.SQL.format(pages="pages"),
         "op11_divergence": divergence.SQL.format(documents="documents"),
         "op12_conversations": conversations.SQL.format(conversations="conversations"),
+        "op13_substrings": substrings.SQL.format(documents="documents"),
         "op8_minhash": neardup.SQL.format(documents="documents"),
     }
