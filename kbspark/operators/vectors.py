@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kbspark.sources.io import stored
+
 
 def normalize_vectors(vectors: DataFrame, vector: str = "embedding", into: str | None = None) -> DataFrame:
     """L2-normalised vectors as doubles; a zero vector stays."""
@@ -23,79 +26,129 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", score: str = "scor
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _block(part: pa.RecordBatch | pa.Table) -> dict:
-    """One row (ids, matrix): float64 rows of the vectors, taken from the Arrow buffers."""
-    ids, vectors = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (part.column(0), part.column(1)))
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return {"ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(pa.int64())), "matrix": [flat.tobytes()]}
-
-
-#: Bytes of query blocks up to which they are broadcast, and the number of copies beyond that.
-BROADCAST_BYTES, SALTS = 64 << 20, 64
+#: Bytes of query vectors that are sent to the tasks at once; more queries go in rounds.
+ROUND_BYTES = 64 << 20
+METRICS = ("cosine", "ip", "l2")
 
 
-def _rows(vectors: DataFrame, ids: str, vector: str) -> DataFrame:
+def vector_rows(vectors: DataFrame, ids: str, vector: str) -> DataFrame:
     return vectors.select(F.col(ids).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
 
 
-METRICS = ("cosine", "ip", "l2")
+def matrix_of(part: pa.RecordBatch | pa.Table, column: str = "v") -> np.ndarray:
+    """float64 rows of a vector column, taken from the Arrow buffers."""
+    v = part.column(column)
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(part.num_rows, -1)
+
+
+def scores(left: np.ndarray, right: np.ndarray, metric: str, digits: int) -> np.ndarray:
+    """Rounded scores of every row of left with every row of right; l2 gives 1 - squared distance."""
+    score = left @ right.T
+    if metric == "cosine":
+        score = score / np.maximum(np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1), 1e-300)
+    elif metric == "l2":
+        score = 1 - ((left**2).sum(1)[:, None] - 2 * score + (right**2).sum(1))
+    return np.round(score, digits)
+
+
+class Best:
+    """The k best (score, then smaller id) of each of n queries among the rows shown so far."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        #: The score that a row has to reach to be among the best of its query.
+        self.floor = np.full(n, -np.inf)
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def add(self, own: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of rows `ids` for the queries `own`."""
+        if score.shape[1] > self.k:
+            kth = np.partition(score, -self.k, axis=1)[:, -self.k]
+            self.floor[own] = np.maximum(self.floor[own], kth)
+        q, c = np.nonzero((score >= self.floor[own][:, None]) & np.isfinite(score))
+        self.held.append((own[q], score[q, c], ids[c]))
+        self.size += len(q)
+        if self.size > 4 * self.n * self.k + 100_000:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id) of the best."""
+        q, score, ids = (np.concatenate(x) if self.held else np.zeros(0) for x in (zip(*self.held, strict=True) if self.held else ((), (), ())))
+        order = np.lexsort((ids, -score, q))
+        q, score, ids = q[order].astype(np.int64), score[order], ids[order].astype(np.int64)
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], score[last])
+        best = place < self.k
+        self.held = [(q[best], score[best], ids[best])]
+        self.size = len(self.held[0][0])
+        return self.held[0]
+
+
+def query_rounds(queries: DataFrame, query_id: str, vector: str, limit_bytes: int, least: int = 1) -> Iterator[DataFrame]:
+    """Parts of the queries (id, v) whose vectors have about `limit_bytes` at most, dealt by a hash of the id; parts of under `least` rows are not made."""
+    wanted = vector_rows(queries, query_id, vector)
+    n, size = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("v") * 8), F.lit(0))).first()
+    rounds = max(1, min(-(-size // max(1, limit_bytes)), -(-n // least)))
+    for r in range(rounds):
+        yield wanted if rounds == 1 else wanted.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r)
+
+
+def all_rounds(found: Iterator[DataFrame], spark: SparkSession) -> DataFrame:
+    """The hits of all rounds: one round stays a plan, of several each is stored, so that what one round sends is held at a time."""
+    done: list[DataFrame] = []
+    for hits in found:
+        if done:
+            done[-1] = stored(done[-1], "hits")
+        done.append(hits)
+    if len(done) > 1:
+        done[-1] = stored(done[-1], "hits")
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], f"{HITS}, rank int")
+
+
+HITS = "query_id long, chunk_id long, score double"
 
 
 def vector_search(
     queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding",
-    exclude_self: bool = False, digits: int = 6, block: int = 2048, limit_bytes: int = BROADCAST_BYTES,
+    exclude_self: bool = False, digits: int = 6, block: int = 2048, limit_bytes: int = ROUND_BYTES,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest rows of every query among all rows.
 
-    Both sides become blocks of rows; every block of queries meets every block of the corpus in one
-    matrix product, which keeps the k best of each query, so k rows per query and block are shuffled.
-    Query blocks are broadcast up to `limit_bytes`; beyond that each one meets SALTS parts of the corpus in
-    as many tasks. Scores are rounded before ranking, ties go to the smaller id. l2 gives 1 - squared distance.
+    The queries go to the tasks in rounds of `limit_bytes`; a round scans the corpus in place, block by block, in matrix
+    products, and a task gives k rows a query, which is all that is shuffled. Scores are rounded before ranking,
+    ties go to the smaller id. l2 gives 1 - squared distance.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
-    wanted = _rows(queries, query_id, vector)
-    blocks = max(1, -(-wanted.count() // block))
-    dealt = wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-
-    def gather(rows: pa.Table) -> pa.Table:
-        return pa.Table.from_pydict({"block": pa.array([rows["block"][0].as_py()], pa.int32())} | _block(rows.select(["id", "v"])))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                yield pa.RecordBatch.from_pydict(_block(batch.slice(at, block)))
-
-    q = dealt.groupBy("block").applyInArrow(gather, "block int, ids array<long>, matrix binary").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
-    c = _rows(corpus, chunk_id, vector).mapInArrow(pack, "ids array<long>, matrix binary")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, ids = (batch.column(n)[i].values.to_numpy() for n in ("q_ids", "ids"))
-                left, right = (np.frombuffer(batch.column(n)[i].as_buffer(), np.float64).reshape(len(of), -1) for n, of in (("q_matrix", q_ids), ("matrix", ids)))
-                score = left @ right.T
-                if metric == "cosine":
-                    score = score / np.maximum(np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1), 1e-300)
-                elif metric == "l2":
-                    score = 1 - ((left**2).sum(1)[:, None] - 2 * score + (right**2).sum(1))
-                score = np.round(score, digits)
-                if exclude_self:
-                    score[q_ids[:, None] == ids] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, 1)
-                found = np.isfinite(best)
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q_ids, found.sum(1)), "chunk_id": ids[order][found], "score": best[found]})
-
-    # an equi-join on the number of the query block: each corpus block is copied once per query block
-    c = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    size = q.agg(F.sum(F.octet_length("q_matrix") + 8 * F.size("q_ids"))).first()[0] or 0
-    if size <= limit_bytes:
-        pairs = c.join(F.broadcast(q), "block")
-    else:
-        salted = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = c.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).join(salted, ["block", "salt"])
-    return top_k(pairs.select("ids", "matrix", "q_ids", "q_matrix").mapInArrow(search, "query_id long, chunk_id long, score double"), k)
+    rows = vector_rows(corpus, chunk_id, vector)
+
+    def one_round(part: DataFrame) -> DataFrame:
+        asked = part.toArrow()
+        shared = queries.sparkSession.sparkContext.broadcast((asked.column("id").to_numpy(), matrix_of(asked)) if asked.num_rows else None)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if shared.value is None:
+                return
+            q_ids, left = shared.value
+            best = Best(len(q_ids), k)
+            step = max(1, min(block, (64 << 20) // (8 * len(q_ids))))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    ids = part.column("id").to_numpy()
+                    score = scores(left, matrix_of(part), metric, digits)
+                    if exclude_self:
+                        score[q_ids[:, None] == ids] = -np.inf
+                    best.add(np.arange(len(q_ids)), score, ids)
+            q, score, ids = best.rows()
+            yield pa.RecordBatch.from_pydict({"query_id": q_ids[q], "chunk_id": ids, "score": score})
+
+        return top_k(rows.mapInArrow(search, HITS), k)
+
+    return all_rounds((one_round(part) for part in query_rounds(queries, query_id, vector, limit_bytes, block)), queries.sparkSession)
 
 
 def resolve_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, which cuts its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def list_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """A row per file below a folder, contents not read: path, file, size, modified."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
