@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import map_batches, map_columns, maybe_broadcast, skew_join, stored
+from kbspark.llm.common import map_batches, map_columns, maybe_broadcast, skew_join, stored, text_batches
 from kbspark.llm.divergence import packed_words, term_places
 from kbspark.llm.neardup import mix
 
@@ -71,10 +71,18 @@ class Words:
             own = own[self.length[own] > at]
         return out
 
+    def join(self) -> Words:
+        """All words with one space behind each, so that words a to b are a slice of it."""
+        self.at = np.concatenate([[0], np.cumsum(self.length + 1)])
+        self.joined = np.full(self.at[-1], 0x20, np.uint8)
+        letters = np.ones(len(self.joined), bool)
+        letters[self.at[1:] - 1] = False
+        self.joined[letters] = self.data[~_BLANK[self.data]]
+        return self
+
     def text(self, a: int, b: int) -> bytes:
         """Words a to b (without b) joined by one space."""
-        s, n = self.start[a:b], self.length[a:b]
-        return b" ".join(self.data[x : x + k].tobytes() for x, k in zip(s.tolist(), n.tolist(), strict=True))
+        return self.joined[self.at[a] : max(self.at[a], self.at[b] - 1)].tobytes()
 
 
 def grams(h: np.ndarray, k: int, which: int) -> np.ndarray:
@@ -131,6 +139,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             w = Windows(batch.column("text"))
+            w.words.join()
             first = w.words.first.tolist()
             digests = [hashlib.blake2b(w.words.text(a, b), digest_size=16).digest() for a, b in zip(first[:-1], first[1:], strict=True)]
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
@@ -141,7 +150,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def numbered(heads: DataFrame) -> DataFrame:
-    """(doc_id, k, n) with `base`, the words of all documents before it in order of (doc_id, k)."""
+    """(doc_id, k, n, base): with the words of all documents before it in order of (doc_id, k)."""
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         part, words = TaskContext.get().partitionId(), 0
@@ -157,7 +166,7 @@ def numbered(heads: DataFrame) -> DataFrame:
     sums = local.groupBy("part").agg(F.sum("n").alias("words"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("base"))
-    return local.join(F.broadcast(bases), "part").select("doc_id", "k", (F.col("base") + F.col("before")).alias("base"))
+    return local.join(F.broadcast(bases), "part").select("doc_id", "k", "n", (F.col("base") + F.col("before")).alias("base"))
 
 
 def at_documents(docs: DataFrame, marks: DataFrame, size: int, how: str = "inner", limit_bytes: int = LIMIT_BYTES) -> DataFrame:
@@ -169,7 +178,7 @@ def at_documents(docs: DataFrame, marks: DataFrame, size: int, how: str = "inner
 
 def candidate_runs(sketches: DataFrame, places: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """(doc_id, k, base, runs): the runs of a document whose minimiser occurs again."""
-    own = at_documents(sketches.select("doc_id", "k", "least"), places, places.count() * 40, limit_bytes=limit_bytes).dropDuplicates(["base"])
+    own = at_documents(sketches.select("doc_id", "k", "least"), places.drop("n"), places.count() * 40, limit_bytes=limit_bytes).dropDuplicates(["base"])
     rows = own.select("doc_id", "k", "base", F.posexplode("least").alias("run", "x"))
     again = stored(rows.groupBy("x").count().where("count > 1").select("x"), "substring-again")
     n = again.count()
@@ -249,33 +258,66 @@ def compact(linked: DataFrame, range_bits: int = RANGE_BITS) -> DataFrame:
 CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
 
-def verified_spans(docs: DataFrame, spans: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
-    """Spans (doc_id, k, pos, place, path, windows) that start later than another span of their path with the same words."""
-    lists = spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "place", "path", "windows")).alias("spans"))
-    size = spans.count() * 48
+#: log2 of the places of a slot by which spans are brought to the documents they start in.
+SLOT_BITS = 9
+
+
+def joined_spans(found: DataFrame) -> DataFrame:
+    """(doc_id, k, pos, words, source) of paths (doc_id, k, pos, place, path, windows) that start later than their source: those that follow one another here and there are one span."""
+    later = found.where("place > path").withColumn("shift", F.col("place") - F.col("path"))
+    along = Window.partitionBy("doc_id", "k", "shift").orderBy("pos")
+    end = F.col("pos") + F.col("windows")
+    begins = F.coalesce(F.col("pos") > F.lag(end).over(along), F.lit(True))
+    runs = later.withColumn("end", end).withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("long")).over(along))
+    return runs.groupBy("doc_id", "k", "shift", "run").agg(
+        F.min("pos").alias("pos"), (F.max("end") - F.min("pos") + WINDOW - 1).alias("words"), F.min("path").alias("source"),
+    ).drop("shift", "run")
+
+
+def sources_of(spans: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, k, pos, words, source): where the distinct sources of spans stand; places: (doc_id, k, n, base)."""
+    slots = places.select("doc_id", "k", "n", "base", F.explode(F.sequence(F.shiftright("base", SLOT_BITS), F.shiftright(F.col("base") + F.col("n") - 1, SLOT_BITS))).alias("slot"))
+    wanted = spans.select("source", "words").distinct().withColumn("slot", F.shiftright("source", SLOT_BITS))
+    there = wanted.join(slots, "slot").where((F.col("source") >= F.col("base")) & (F.col("source") < F.col("base") + F.col("n")))
+    return there.select("doc_id", "k", (F.col("source") - F.col("base")).alias("pos"), "words", "source")
 
-    def check(batches: Iterator[dict]) -> Iterator[dict]:
+
+def compared(docs: DataFrame, spans: DataFrame, places: DataFrame, limit_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(spans whose words are those of their source, the others), by digests of the words at both places."""
+    both = stored(spans.withColumn("own", F.lit(False)).unionByName(sources_of(spans, places).withColumn("own", F.lit(True))), "substring-spans")
+    lists = both.groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "words", "source", "own")).alias("spans"))
+
+    def read(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            words = Words(pa.array(batch["text"], pa.string()))
-            out: dict = {c: [] for c in ("doc_id", "k", "pos", "place", "path", "windows", "d1", "d2")}
+            words = Words(pa.array(batch["text"], pa.string())).join()
+            out: dict = {c: [] for c in ("doc_id", "k", "pos", "words", "source", "own", "d1", "d2")}
             for i, own in enumerate(batch["spans"]):
+                base = int(words.first[i])
                 for s in own:
-                    a = int(words.first[i]) + s["pos"]
-                    d = np.frombuffer(hashlib.blake2b(words.text(a, a + s["windows"] + WINDOW - 1), digest_size=16).digest(), np.int64)
-                    for c, v in zip(out, (batch["doc_id"][i], batch["k"][i], s["pos"], s["place"], s["path"], s["windows"], int(d[0]), int(d[1])), strict=True):
+                    text = words.text(base + s["pos"], base + s["pos"] + s["words"])
+                    one, two = np.frombuffer(hashlib.blake2b(text, digest_size=16).digest(), np.int64).tolist()
+                    for c, v in zip(out, (batch["doc_id"][i], batch["k"][i], s["pos"], s["words"], s["source"], s["own"], one, two), strict=True):
                         out[c].append(v)
             yield out
 
-    rows = at_documents(docs, lists, size, limit_bytes=limit_bytes).select("doc_id", "k", "spans", "text")
-    read = stored(map_columns(rows, check, "doc_id long, k long, pos long, place long, path long, windows long, d1 long, d2 long"), "substring-spans")
-    # one text a path, as a rule; else each text of it has a source of its own
-    texts = stored(read.groupBy("path", "d1", "d2").agg(F.min("place").alias("source")), "substring-texts")
-    mixed = stored(texts.groupBy("path").count().where("count > 1").select("path"), "substring-mixed")
-    sure = read.where("place > path")
-    if not mixed.isEmpty():
-        again = read.join(mixed, "path", "left_semi").join(texts, ["path", "d1", "d2"]).where("place > source")
-        sure = sure.join(mixed, "path", "left_anti").unionByName(again.drop("source"))
-    return sure.select("doc_id", "k", "pos", F.col("windows") + WINDOW - 1)
+    rows = at_documents(docs, lists, both.count() * 40, limit_bytes=limit_bytes).select("doc_id", "k", "spans", "text")
+    found = stored(map_columns(rows, read, "doc_id long, k long, pos long, words long, source long, own boolean, d1 long, d2 long"), "substring-read")
+    key = ["source", "words", "d1", "d2"]
+    odd = stored(found.groupBy(*key).agg(F.max("own").alias("own")).where("NOT own").drop("own"), "substring-odd")
+    mine = found.where("NOT own")
+    if odd.isEmpty():
+        return mine.select(*spans.columns), spans.limit(0)
+    return mine.join(odd, key, "left_anti").select(*spans.columns), mine.join(odd, key, "left_semi").select(*spans.columns)
+
+
+def verified_spans(docs: DataFrame, found: DataFrame, places: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
+    """(doc_id, k, pos, words) whose words are read to be those of their source; of a span that differs (equal hashes of other words), the windows that do not."""
+    same, odd = compared(docs, stored(joined_spans(found), "substring-joined"), places, limit_bytes)
+    if not odd.isEmpty():
+        one = odd.select("doc_id", "k", F.explode(F.sequence(F.lit(0), F.col("words") - WINDOW)).alias("i"), "pos", "source")
+        windows = one.select("doc_id", "k", (F.col("pos") + F.col("i")).alias("pos"), F.lit(WINDOW).cast("long").alias("words"), (F.col("source") + F.col("i")).alias("source"))
+        same = same.unionByName(compared(docs, stored(windows, "substring-odd-windows"), places, limit_bytes)[0])
+    return same.drop("source")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit_bytes: int = LIMIT_BYTES, range_bits: int = RANGE_BITS) -> DataFrame:
@@ -287,7 +329,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     one = heads.withColumnsRenamed({"doc_id": "m_id", "k": "m_k"}).drop("n")
     narrow = long.select("doc_id", "k").distinct()
     copies = narrow.join(one, narrow["doc_id"].eqNullSafe(one["m_id"]) & (narrow["k"] == one["m_k"]), "left_anti")
-    marks = candidate_runs(long, stored(numbered(heads), "substring-bases"), limit_bytes)
+    places = stored(numbered(heads), "substring-bases")
+    marks = candidate_runs(long, places, limit_bytes)
 
     windows = candidate_windows(rows, marks, limit_bytes)
     edges = stored(repeated_edges(windows), "substring-edges")
@@ -295,8 +338,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     at = windows.select("h1", "h2", "doc_id", "k", "pos", "place")
     n = paths.count()
     found = at.join(F.broadcast(paths), ["h1", "h2"]) if n * 48 <= limit_bytes else skew_join(stored(at, "substring-windows"), paths, ["h1", "h2"])
-    spans = stored(found.select("doc_id", "k", "pos", "place", "path", "windows").dropDuplicates(["place"]), "substring-found")
-    later = verified_spans(rows, spans, limit_bytes).toDF("doc_id", "k", "pos", "words")
+    later = verified_spans(rows, found.select("doc_id", "k", "pos", "place", "path", "windows"), places, limit_bytes)
     listed = later.groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "words")).alias("spans"))
     return stored(listed.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True), "substring-removed")
 
@@ -304,17 +346,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 @F.pandas_udf(CUT)
 def _cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, wholes, spans in parts:
-        out = []
-        for text, whole, own in zip(texts, wholes, spans, strict=True):
-            words = Words(pa.array([text], pa.string()))
-            n = len(words.start)
-            gone = np.full(n, whole is True or whole is np.True_)
-            for s in () if own is None else own:
-                gone[s["pos"] : s["pos"] + s["words"]] = True
-            # runs of words that stay
-            edge = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
-            kept = b" ".join(words.text(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True))
-            out.append((kept.decode(), n, int(gone.sum())))
+        texts, wholes, spans, out = texts.fillna("").tolist(), wholes.tolist(), spans.tolist(), []
+        for start, end in text_batches(texts):
+            words = Words(pa.array(texts[start:end], pa.string())).join()
+            for i in range(start, end):
+                a, b = (int(x) for x in words.first[i - start : i - start + 2])
+                if wholes[i] is None:  # nothing is known of this text
+                    out.append((words.text(a, b).decode(), b - a, 0))
+                    continue
+                gone = np.full(b - a, bool(wholes[i]))
+                for s in () if spans[i] is None else spans[i]:
+                    gone[s["pos"] : s["pos"] + s["words"]] = True
+                # runs of words that stay
+                edge = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8))).tolist()
+                kept = b" ".join(words.text(a + x, a + y) for x, y in zip(edge[::2], edge[1::2], strict=True))
+                out.append((kept.decode(), b - a, int(gone.sum())))
         yield pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
 

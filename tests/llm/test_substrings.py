@@ -78,7 +78,7 @@ def test_nothing(none, spark):
 def test_words_of_batches():
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab é\n\t中\0\x1c") for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["z" * 5000, ""]
-    words = Words(pa.array(texts, pa.string()).slice(2))
+    words = Words(pa.array(texts, pa.string()).slice(2)).join()
     found = [words.text(int(a), int(a) + 1).decode() for a in range(len(words.start))]
     want = [w for t in texts[2:] for w in WORD.findall(t)]
     assert found == want
@@ -87,3 +87,17 @@ def test_words_of_batches():
     for w, h in zip(want, words.hashes().tolist(), strict=True):
         assert by.setdefault(w, h) == h
     assert len(set(by.values())) == len(by)
+
+
+def test_spans_of_other_words_are_not_removed(spark):
+    """A path that a collision of hashes would claim: the windows that do equal their source go, the others stay."""
+    from kbspark.llm.substrings import _keyed, verified_spans
+
+    words = [f"w{i}" for i in range(60)]
+    other = [*words[:30], "changed", *words[31:]]
+    docs = _keyed(spark.createDataFrame([(1, " ".join(words)), (2, "x y " + " ".join(other))], "doc_id long, text string"), "text", "doc_id")
+    keys = {r["doc_id"]: r["k"] for r in docs.collect()}
+    places = spark.createDataFrame([(1, keys[1], 60, 0), (2, keys[2], 62, 60)], "doc_id long, k long, n long, base long")
+    found = spark.createDataFrame([(1, keys[1], 0, 0, 0, 20), (1, keys[1], 20, 20, 20, 21), (2, keys[2], 2, 62, 0, 20), (2, keys[2], 22, 82, 20, 21)], "doc_id long, k long, pos long, place long, path long, windows long")
+    got = sorted((r["doc_id"], r["pos"], r["words"]) for r in verified_spans(docs, found, places).collect())
+    assert got == [(2, 2 + i, 20) for i in [*range(11), *range(31, 41)]]
