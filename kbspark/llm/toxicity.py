@@ -7,16 +7,19 @@ reported speech. Their composition is one machine. Arcs of harmful words carry w
 machine emits at a clause's end is the pattern of the clause and the sum of its arcs' weights. A
 document's score is a logistic function of the weights of its matched clauses, by pattern.
 
-All classes and weights are learned on Spark from labelled documents outside the held-out fifth:
+Insults, weights and further threats, targets and negations are learned on Spark from labelled documents outside the
+held-out fifth; reports are the fixed list:
 - labelled rows over MAX_LABELS are thinned by a hash of their id, so what is learned from is bounded;
 - near copies count once (a sketch of their word windows), else the words of one copied toxic
   document would look like insults;
 - a word, or a beginning of words, whose documents surely have LIFT times the odds of all to be toxic
   is an insult; its arc's weight is the logarithm of the odds it multiplies;
-- a word whose clauses with a target surely stand in toxic documents is a threat; a word that surely
-  makes clauses with insults come from clean documents is a negation, one that does the opposite a
-  target (order decides the rest); the fixed lists of these four classes come in addition;
-- the ridge of the logistic fit is chosen by cross-validation within the training rows.
+- a word whose documents with it beside a target are surely toxic is a threat; a word that surely makes documents
+  with insults in its clauses clean is a negation, one that does the opposite a target (order decides the
+  rest). Documents count, not clauses; SUPPORT of them at least; surely allows for the number of words
+  tested; and both halves of the documents have to agree. The fixed lists come in addition;
+- the logistic weights are drawn to the fixed ones, which those of patterns that no labelled document has keep;
+  how strongly is chosen by cross-validation within the training rows.
 
 Defined results: null and empty texts have no matched clause and get the base score; labels other
 than 0 and 1, and null labels, are not learned from; a document labelled twice counts once; with
@@ -28,9 +31,11 @@ result's name is replaced.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -57,6 +62,8 @@ STEMS = (4, 5)
 MAX_LABELS = 400_000
 #: Standard errors that make a share sure, and how it must change the odds.
 SURE, LIFT = 3.3, 2.5
+#: Documents that a threat, target or negation has to stand in, in either half of them, and the chance that one word of all tested is taken wrongly.
+SUPPORT, HALF_SUPPORT, WRONG = 10, 3, 0.01
 #: Weight of a clause from which on its insults are heavy.
 HEAVY = 4
 PATTERNS = ("plain", "targeted", "negated", "reported", "threat")
@@ -281,43 +288,67 @@ def learn_insults(train: DataFrame, share: float) -> dict[str, int]:
     return {t: max(1, round(float(np.log(x)))) for t, x in sorted(odds.items())}
 
 
+def halves(found: DataFrame) -> DataFrame:
+    """(kind, word, pos, n, pos0, n0, pos1, n1) of counted terms 'half kind word'; the word '' stands for all documents of the kind."""
+    part = F.split("term", " ", 3)
+    at = found.select(part[0].alias("half"), part[1].alias("kind"), part[2].alias("word"), "pos", (F.col("pos") + F.col("neg")).alias("n"))
+    of = lambda c, h: F.coalesce(F.sum(F.when(F.col("half") == h, F.col(c))), F.lit(0)).alias(f"{c}{h}")
+    return at.groupBy("kind", "word").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), of("pos", "0"), of("n", "0"), of("pos", "1"), of("n", "1"))
+
+
+def errors_for(tested: int) -> float:
+    """Standard errors at which one of `tested` words is taken wrongly with a chance of WRONG, SURE at least."""
+    return max(SURE, NormalDist().inv_cdf(1 - WRONG / (2 * max(1, tested))))
+
+
 def learn_classes(train: DataFrame, insults: dict[str, int], share: float) -> Lexicon:
-    """The other classes: by the words of clauses with insults, and of clauses with a target and no insult.
+    """The other classes: by the documents with a word in clauses with insults, and in clauses with a target and no insult.
 
-    Clauses with light and heavy insults are looked at apart, else the words that stand with heavy ones,
-    such as those of one language, would seem to add something.
+    Light and heavy insults are looked at apart, else the words that stand with heavy ones, such as those of one
+    language, would seem to add something.
     """
     base = Lexicon(insults)
 
     def words(wanted: int, never: tuple[int, ...]):
         def of(texts: list[str]) -> Iterator[tuple[int, set[str]]]:
             grammar = Grammar(base)
+            held: dict[int, set[str]] = {}
             for text, codes, a, b in grammar.clauses(texts, (wanted,)):
                 if not any(c & 7 in never for c in codes):
-                    kind = "heavy " if sum(c >> 4 for c in codes) >= HEAVY else "light "
-                    yield text, {kind + w for token in grammar.tokens[a:b].to_pylist() for w in _WORD.findall(token) if base.letter(w)[0] in (OTHER, THREAT)} | {kind}
+                    kind = f"{zlib.crc32(texts[text].encode()) & 1} {'heavy' if sum(c >> 4 for c in codes) >= HEAVY else 'light'} "
+                    held.setdefault(text, {kind}).update([kind, *(kind + w for token in grammar.tokens[a:b].to_pylist() for w in _WORD.findall(token) if base.letter(w)[0] in (OTHER, THREAT))])
+            yield from held.items()
 
         return of
 
-    n, pos = F.col("pos") + F.col("neg"), F.col("pos")
-    near = stored(counted(train, words(INSULT, ()), "toxic").withColumn("kind", F.substring_index("term", " ", 1)), "toxic-clauses")
-    whole = near.where(F.endswith("term", F.lit(" "))).select("kind", (pos / n).alias("usual"))
-    sure = near.where(~F.endswith("term", F.lit(" "))).join(F.broadcast(whole), "kind").where("usual > 0 AND usual < 1")  # two rows
-    fewer, more = (1 - surely(n - pos, n)) <= lifted(F.col("usual"), 1 / LIFT), surely(pos, n) >= lifted(F.col("usual"))
-    found = sure.where(fewer | more).select(F.substring_index("term", " ", -1).alias("word"), fewer.alias("fewer")).collect()
-    alone = counted(train, words(TARGET, (INSULT,)), "toxic").where(F.startswith("term", F.lit("light ")) & (F.length("term") > 6) & (surely(pos, n) >= lifted(share))).collect()
-    threats = {r["term"][6:]: max(1, round(float(np.log((r["pos"] + 0.5) / (r["neg"] + 0.5) * (1 - share) / share)))) for r in alone}
+    def tried(wanted: int, never: tuple[int, ...], label: str) -> tuple[DataFrame, float]:
+        """Words with enough documents, beside the usual share of their kind, and the standard errors for so many words."""
+        near = stored(halves(counted(train, words(wanted, never), "toxic")), label)
+        whole = near.where("word = ''").select("kind", (F.col("pos") / F.col("n")).alias("usual"))
+        enough = near.where(f"word <> '' AND n >= {SUPPORT} AND n0 >= {HALF_SUPPORT} AND n1 >= {HALF_SUPPORT}").join(F.broadcast(whole), "kind")  # two rows
+        return enough, errors_for(enough.count())
+
+    n, pos, usual = F.col("n"), F.col("pos"), F.col("usual")
+    in_halves = lambda side: side(F.col("pos0") / F.col("n0")) & side(F.col("pos1") / F.col("n1"))
+    near, z = tried(INSULT, (), "toxic-clauses")
+    fewer = ((1 - surely(n - pos, n, z)) <= lifted(usual, 1 / LIFT)) & in_halves(lambda x: x < usual)
+    more = (surely(pos, n, z) >= lifted(usual)) & in_halves(lambda x: x > usual)
+    found = near.where("usual > 0 AND usual < 1").where(fewer | more).select("word", fewer.alias("fewer")).collect()
+    aimed, z = tried(TARGET, (INSULT,), "toxic-aimed")
+    alone = aimed.where((F.col("kind") == "light") & (surely(pos, n, z) >= lifted(share)) & in_halves(lambda x: x > share)).collect()
+    threats = {r["word"]: max(1, round(float(np.log((r["pos"] + 0.5) / (r["n"] - r["pos"] + 0.5) * (1 - share) / share)))) for r in alone}
     return Lexicon(insults, base.threats | threats, base.targets | {r["word"] for r in found if not r["fewer"]}, base.negations | {r["word"] for r in found if r["fewer"]})
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method on grouped rows: y positives of n."""
-    w = np.zeros(x.shape[1])
+    """Newton's method on grouped rows, y positives of n; the ridge draws to FIXED_WEIGHTS, so a column without rows keeps its own."""
+    prior = np.array(FIXED_WEIGHTS)
+    w = prior.copy()
     penalty = ridge * np.eye(len(w)) * n.sum() / 1000
     penalty[0, 0] = 1e-9
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + penalty + 1e-9 * np.eye(len(w)), x.T @ (y - n * p) - penalty @ w)
+        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + penalty + 1e-9 * np.eye(len(w)), x.T @ (y - n * p) - penalty @ (w - prior))
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
