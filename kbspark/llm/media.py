@@ -166,7 +166,7 @@ def chunk_lists(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 def write_media(docs: DataFrame, lists: DataFrame, text: str, doc_id: str, limit_bytes: int = 64 << 20) -> DataFrame:
     """Second scan: the media and chunk tables.
 
-    Each media is written by the row of its smallest id, each shared chunk by one place in one media.
+    Each media is written by one row of its smallest id, each shared chunk by one place in one media.
     """
     owners = stored(lists.groupBy("media").agg(F.min("doc_id").alias("doc_id"), F.first("list").alias("list")), "media-owners")
     places = stored(owners.select("media", F.posexplode("list").alias("pos", "chunk")), "media-places")
@@ -181,14 +181,26 @@ def write_media(docs: DataFrame, lists: DataFrame, text: str, doc_id: str, limit
         .groupBy("media")
         .agg(F.collect_list("pos").alias("elsewhere"), F.collect_list(F.when(F.struct("media", "pos") == F.col("at"), F.col("pos"))).alias("writes"))
     )
-    copies = skew_join(lists.select("doc_id", "media"), owners.select("media", F.col("doc_id").alias("owner")), ["media"]).where("NOT doc_id <=> owner").select("doc_id", "media").distinct()
-    todo = owners.select("doc_id", "media").join(marks, "media").withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    rows_of = stored(
+        skew_join(lists.select("doc_id", "media"), owners.select("media", F.col("doc_id").alias("owner")), ["media"])
+        .groupBy("doc_id", "media").agg(F.count("*").alias("rows"), F.first(F.col("doc_id").eqNullSafe(F.col("owner"))).alias("owns")), "media-rows",
+    )
+    # rows that the scan passes by: those that only use a media, and equal rows of an owner, of which one writes it below
+    passed = rows_of.where("NOT owns OR rows > 1").select("doc_id", "media")
+    todo = owners.select("doc_id", "media").join(marks, "media").withColumn("copy", F.lit(False))
+    todo = todo.join(passed, (todo["media"] == passed["media"]) & todo["doc_id"].eqNullSafe(passed["doc_id"]), "left_anti").unionByName(passed.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     todo = stored(todo.withColumnsRenamed({"doc_id": "todo_id", "media": "todo_media"}), "media-todo")
     sizes = todo.agg(F.count("*"), F.coalesce(F.sum(F.size("elsewhere") + F.size("writes")), F.lit(0))).first()
     todo = maybe_broadcast(todo, 1, sizes[0] * 96 + sizes[1] * 4, limit_bytes)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), media_key(text).alias("media"))
     mine = own["doc_id"].eqNullSafe(todo["todo_id"]) & (own["media"] == todo["todo_media"])
     marked = own.join(todo, mine, "left").where("copy IS NULL OR NOT copy").select("text", "elsewhere", "writes")
+    twice = rows_of.where("owns AND rows > 1").select(F.col("doc_id").alias("todo_id"), F.col("media").alias("todo_media"))
+    n = twice.count()
+    if n:
+        few = maybe_broadcast(twice, n, 96, limit_bytes)
+        one = own.join(few, own["doc_id"].eqNullSafe(few["todo_id"]) & (own["media"] == few["todo_media"])).dropDuplicates(["media"])
+        marked = marked.unionByName(one.select("media", "text").join(marks, "media", "left").select("text", "elsewhere", "writes"))
 
     def write(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:

@@ -8,7 +8,7 @@ confirmed by exact Jaccard similarity on the full sets.
 
 Nothing here grows with the square of a group:
 
-1. Equal sets are one representative, found by a digest.
+1. Equal sets are one representative, found by a digest and given a number.
 2. In each band bucket every member is compared with the bucket's smallest member, its pivot.
    What links to a pivot is connected, whatever the number of members.
 3. Jaccard distance is a metric, so for x linked and y not linked to the pivot, a link of x and y
@@ -22,7 +22,7 @@ Defined results: a null or empty text, or one without words, has an empty set, l
 and is kept; with fewer than five words the whole sequence is the one shingle; ties go to the
 smallest id; repeated rows get equal results; a row with a null id joins a group only through a
 set equal to one of it, and is never the smallest; other columns, of any names, are carried along by
-drop_near_duplicates. It tells rows by id and text, so one id with two texts is two documents there.
+drop_near_duplicates. Rows are told by id and text and sets by their digest, so one id with two texts is two documents.
 """
 
 from __future__ import annotations
@@ -238,10 +238,11 @@ def near_components(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, pe
     pivots = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
     members = stored(rows.join(pivots, "bucket").where("rep > pivot").select("bucket", "pivot", "rep"), "members")
     pairs = stored(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    wanted = stored(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "wanted")
-    wanted = maybe_broadcast(wanted, wanted.count(), 16)
-    own = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = stored(own.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = stored(wanted.join(reps.select("rep", "k1", "k2"), "rep"), "wanted")
+    k1, k2 = row_key(doc_id, text)
+    own = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
+    texts = stored(own.join(maybe_broadcast(wanted, wanted.count(), 48), ["k1", "k2"]).dropDuplicates(["rep"]).select("rep", "text"), "texts")
     tested = stored(overlaps(pairs, texts), "tested")
     is_link = 100 * F.col("inter") >= percent * F.col("union")
     links = tested.where(is_link).select("a", "b")
@@ -280,9 +281,14 @@ def near_components(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, pe
 def _marked(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, k1, k2, n_shingles, component_id, kept."""
     sketched = stored(sketches(docs, text, doc_id, rows_for(percent)), "sketches")
-    reps = stored(sketched.where("n_shingles > 0").groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
-    comps = near_components(docs, reps.where("rep IS NOT NULL"), text, doc_id, percent).withColumnRenamed("node", "rep")
-    of_set = reps.select("set_digest", "rep").join(comps, "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("component"))
+    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "k1", "k2"))
+    sets = sketched.where("n_shingles > 0").groupBy("set_digest").agg(F.min(known).alias("x"), F.first("bands").alias("bands"))
+    reps = stored(sets.select("set_digest", "x.*", "bands", F.monotonically_increasing_id().alias("rep")), "reps")
+    comps = near_components(docs, reps.where("doc_id IS NOT NULL"), text, doc_id, percent).withColumnRenamed("node", "rep")
+    named = stored(comps.join(reps.select("rep", "doc_id"), "rep"), "named")
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    of_set = reps.select("set_digest", "rep", "doc_id").join(named.select("rep", "component").join(smallest, "component"), "rep", "left")
+    of_set = of_set.select("set_digest", F.coalesce("smallest", "doc_id").alias("component"))
     # most sets have one row, and a third of all rows may have one set
     own = sketched.select("doc_id", "k1", "k2", "n_shingles", "set_digest")
     found = skew_join(own.where("set_digest IS NOT NULL"), of_set, ["set_digest"]).unionByName(own.where("set_digest IS NULL").withColumn("component", F.col("doc_id")))

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from conftest_words import prose
 from kbspark.llm import media, warc
 
 
@@ -156,3 +157,17 @@ def test_a_damaged_archive_is_an_error(spark, damage):
     else:
         with pytest.raises(Exception, match="ValueError"):
             warc.read_warc(manifest).collect()
+
+
+def test_equal_rows_are_stored_once(spark):
+    """Fifty equal rows of an owner, with chunks that other media share."""
+    passage = prose(3, 4000)
+    rows = [(1, passage)] * 50 + [(2, passage), (3, "other " + passage), (None, "x")] + [(4, passage + " end")] * 3 + [(5, "alone")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    lists = media.chunk_lists(df, "text", "doc_id").cache()
+    store = media.write_media(df, lists, "text", "doc_id")
+    found = [(r["kind"] == "chunk", bytes(r["id"])) for r in store.select("kind", "id").collect()]
+    assert len(found) == len(set(found)) and sum(not c for c, _ in found) == 5
+    got = media.media_round_trip(df).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"]) for r in got), key=str) == sorted(((i, len(t.encode())) for i, t in rows), key=str)
+    assert all(r["payload_sha256"] == hashlib.sha256(media.payload_of(next(t for i, t in rows if i == r["doc_id"]))[0]).hexdigest() for r in got)

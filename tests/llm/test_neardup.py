@@ -123,3 +123,15 @@ def test_one_id_with_two_texts(spark):
     base = [f"w{i}" for i in range(60)]
     df = spark.createDataFrame([(1, " ".join(base)), (5, " ".join(base)), (5, "another text of five words or so")], "doc_id long, text string")
     assert sorted(map(tuple, neardup.drop_near_duplicates(df).collect())) == [(1, " ".join(base)), (5, "another text of five words or so")]
+
+
+def test_one_id_with_two_texts_in_any_order(spark):
+    """Rows are documents of their own, whatever their ids: links and smallest ids do not hang on the order of rows."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (5, " ".join([*a[:-1], "x"])), (5, " ".join(b)), (7, " ".join([*b[:-1], "y"])), (9, "c d e f g h")]
+    want = sorted([(1, 1), (5, 1), (5, 5), (7, 5), (9, 9)])
+    for order in (rows, rows[::-1], [rows[2], rows[1], rows[4], rows[0], rows[3]]):
+        got = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").coalesce(1))
+        assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == want
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([rows[0], rows[2], rows[4]])
