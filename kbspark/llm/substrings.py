@@ -3,13 +3,14 @@
 A window of WINDOW words is an edge from its first WINDOW - 1 words to its last ones. Edges that occur once
 are of no interest, and most windows are told apart early: the least hash of the 8-word runs in a window (its
 minimiser) changes every few words, equal windows have equal ones, so only windows of a minimiser that occurs
-again go on. These are grouped by a 96-bit hash to edges with count, first place and neighbours.
+again go on. These are grouped by a 128-bit hash to edges with count, first place and neighbours.
 
-Where one edge always follows another and always behind it alone, the path does not branch. A join of the
-edges on neighbouring first places finds these links; paths within a range of places are numbered there, and
-those that cross ranges compact by joins on their ends with pointer doubling. On such a path all places move
-along together, so a path has one source, its first place, and an occurrence of its first edge is one of the
-whole path. Spans are verified before use: the digests of their words are compared with those of the source.
+Where one edge always follows another and always behind it alone, the path does not branch, and the edges' first
+places are neighbours. Paths within a range of places are found there, and those that cross ranges compact by joins
+on their ends with pointer doubling. On such a path all places move along together, so a path has one source, its
+first place, and an occurrence of its first edge is one of the whole path. Paths that follow one another here as at
+their source are one span, and spans of LONG_WORDS or more are verified: the digests of their words are read from the
+texts at both places.
 
 Places count the words of all documents in order of id, so a place is one number. Documents with the same
 words are one until the end: each but the first has all its words in windows that start earlier.
@@ -33,11 +34,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import map_batches, map_columns, maybe_broadcast, skew_join, stored, text_batches
+from kbspark.llm.common import map_batches, map_columns, maybe_broadcast, skew_join, slices, stored, text_batches
 from kbspark.llm.divergence import packed_words, term_places
 from kbspark.llm.neardup import mix
 
 WINDOW, GRAM = 20, 8
+#: Words of a span from which on it is read at its source; bytes of text that a task looks at together.
+LONG_WORDS, PART_BYTES = 50, 1 << 20
 #: log2 of the places of a range within which paths are numbered by a window function.
 RANGE_BITS = 12
 LIMIT_BYTES = 64 << 20
@@ -137,7 +140,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, k, n, d1, d2, least): number and digest of the words, and the minimiser of each run of windows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, PART_BYTES)):
             w = Windows(batch.column("text"))
             w.words.join()
             first = w.words.first.tolist()
@@ -177,13 +180,13 @@ def at_documents(docs: DataFrame, marks: DataFrame, size: int, how: str = "inner
 
 
 def candidate_runs(sketches: DataFrame, places: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
-    """(doc_id, k, base, runs): the runs of a document whose minimiser occurs again."""
-    own = at_documents(sketches.select("doc_id", "k", "least"), places.drop("n"), places.count() * 40, limit_bytes=limit_bytes).dropDuplicates(["base"])
+    """(doc_id, k, base, runs): the runs of a document whose minimiser occurs again; those of repeated rows all do."""
+    own = at_documents(sketches.select("doc_id", "k", "least"), places.drop("n"), places.count() * 40, limit_bytes=limit_bytes)
     rows = own.select("doc_id", "k", "base", F.posexplode("least").alias("run", "x"))
     again = stored(rows.groupBy("x").count().where("count > 1").select("x"), "substring-again")
     n = again.count()
     found = rows.join(F.broadcast(again), "x") if n * 16 <= limit_bytes else skew_join(stored(rows, "substring-runs"), again, ["x"])
-    return stored(found.groupBy("doc_id", "k", "base").agg(F.collect_list("run").alias("runs")), "substring-marks")
+    return stored(found.groupBy("doc_id", "k", "base").agg(F.collect_set("run").alias("runs")), "substring-marks")
 
 
 def candidate_windows(docs: DataFrame, marks: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
@@ -191,7 +194,7 @@ def candidate_windows(docs: DataFrame, marks: DataFrame, limit_bytes: int = LIMI
     size = marks.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, PART_BYTES)):
             w = Windows(batch.column("text"))
             runs = batch.column("runs")
             # number of the first run of each text, then the marked runs of all texts
@@ -206,12 +209,12 @@ def candidate_windows(docs: DataFrame, marks: DataFrame, limit_bytes: int = LIMI
             pos = at - w.words.first[doc]
             yield {
                 "doc_id": batch.column("doc_id").take(pa.array(doc)), "k": batch.column("k").take(pa.array(doc)), "pos": pos,
-                "place": pos + batch.column("base").to_numpy()[doc], "h1": one[at], "h2": (two[at] >> 32).astype(np.int32),
+                "place": pos + batch.column("base").to_numpy()[doc], "h1": one[at], "h2": two[at],
                 "before": np.where(starts, 0, print_[at - 1]), "behind": np.where(ends, 0, print_[np.minimum(at + 1, len(print_) - 1)]),
             }
 
     joined = at_documents(docs, marks, size[0] * 48 + size[1] * 4, limit_bytes=limit_bytes).select("doc_id", "k", "base", "runs", "text")
-    return map_batches(joined, scan, "doc_id long, k long, pos long, place long, h1 long, h2 int, before int, behind int")
+    return map_batches(joined, scan, "doc_id long, k long, pos long, place long, h1 long, h2 long, before int, behind int")
 
 
 # --- the graph ---
@@ -223,21 +226,23 @@ def repeated_edges(windows: DataFrame) -> DataFrame:
     return windows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), alone("before"), alone("behind")).where("n > 1")
 
 
-def linked_edges(edges: DataFrame) -> DataFrame:
-    """Edges with `linked`: whether the path from the edge at the place before goes on here without a branch."""
-    own = edges.withColumn("print", F.shiftright("h1", 32).cast("int"))
-    last = own.select((F.col("place") + 1).alias("place"), F.col("n").alias("last_n"), F.col("behind").alias("last_behind"), F.col("print").alias("last_print"))
-    both = own.join(last, "place", "left")
-    goes_on = (F.col("n") == F.col("last_n")) & (F.col("last_behind") == F.col("print")) & (F.col("before") == F.col("last_print"))
-    return both.select("place", "h1", "h2", F.coalesce(goes_on, F.lit(False)).alias("linked"))
+def linked_edges(edges: DataFrame, range_bits: int = RANGE_BITS) -> DataFrame:
+    """(range, place, h1, h2, linked) of the edges: whether the path from the edge at the place before goes on here without a branch. The last place of a range is looked at from the next one as well."""
+    mask = (1 << range_bits) - 1
+    own = edges.withColumn("print", F.shiftright("h1", 32).cast("int")).withColumn("home", F.shiftright("place", range_bits))
+    seen = F.when(F.col("place").bitwiseAND(F.lit(mask)) == mask, F.array("home", F.col("home") + 1)).otherwise(F.array("home"))
+    ranged = own.withColumn("range", F.explode(seen))
+    last = Window.partitionBy("range").orderBy("place")
+    of = lambda c: F.lag(c).over(last)
+    goes_on = (of("place") == F.col("place") - 1) & (F.col("n") == of("n")) & (of("behind") == F.col("print")) & (F.col("before") == of("print"))
+    return ranged.withColumn("linked", F.coalesce(goes_on, F.lit(False))).where("range = home").select("range", "place", "h1", "h2", "linked")
 
 
 def compact(linked: DataFrame, range_bits: int = RANGE_BITS) -> DataFrame:
     """(h1, h2, place, windows): the nonbranching paths, by their first edge."""
-    ranged = linked.withColumn("range", F.shiftright("place", range_bits))
     upto = Window.partitionBy("range").orderBy("place")
     begins = ~F.col("linked") | (F.shiftright(F.col("place") - 1, range_bits) != F.col("range"))
-    part = ranged.withColumn("head", F.max(F.when(begins, F.col("place"))).over(upto))
+    part = linked.withColumn("head", F.max(F.when(begins, F.col("place"))).over(upto))
     at_head = lambda c: F.max(F.when(F.col("place") == F.col("head"), F.col(c))).alias(c)
     parts = stored(part.groupBy("range", "head").agg(F.count("*").alias("windows"), at_head("linked"), at_head("h1"), at_head("h2")).drop("range"), "substring-paths")
     # parts that go on from the range before: join ends with beginnings, then double the steps
@@ -265,9 +270,9 @@ SLOT_BITS = 9
 def joined_spans(found: DataFrame) -> DataFrame:
     """(doc_id, k, pos, words, source) of paths (doc_id, k, pos, place, path, windows) that start later than their source: those that follow one another here and there are one span."""
     later = found.where("place > path").withColumn("shift", F.col("place") - F.col("path"))
-    along = Window.partitionBy("doc_id", "k", "shift").orderBy("pos")
+    along = Window.partitionBy("doc_id", "k").orderBy("shift", "pos")
     end = F.col("pos") + F.col("windows")
-    begins = F.coalesce(F.col("pos") > F.lag(end).over(along), F.lit(True))
+    begins = F.coalesce((F.col("shift") != F.lag("shift").over(along)) | (F.col("pos") > F.lag(end).over(along)), F.lit(True))
     runs = later.withColumn("end", end).withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("long")).over(along))
     return runs.groupBy("doc_id", "k", "shift", "run").agg(
         F.min("pos").alias("pos"), (F.max("end") - F.min("pos") + WINDOW - 1).alias("words"), F.min("path").alias("source"),
@@ -311,13 +316,23 @@ def compared(docs: DataFrame, spans: DataFrame, places: DataFrame, limit_bytes:
 
 
 def verified_spans(docs: DataFrame, found: DataFrame, places: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
-    """(doc_id, k, pos, words) whose words are read to be those of their source; of a span that differs (equal hashes of other words), the windows that do not."""
-    same, odd = compared(docs, stored(joined_spans(found), "substring-joined"), places, limit_bytes)
+    """(doc_id, k, pos, words) of later spans; a long one is read at both places, and of one that differs (equal hashes of other words) the windows that do not are left."""
+    spans = stored(joined_spans(found), "substring-joined")
+    same, odd = compared(docs, spans.where(F.col("words") >= LONG_WORDS), places, limit_bytes)
     if not odd.isEmpty():
         one = odd.select("doc_id", "k", F.explode(F.sequence(F.lit(0), F.col("words") - WINDOW)).alias("i"), "pos", "source")
         windows = one.select("doc_id", "k", (F.col("pos") + F.col("i")).alias("pos"), F.lit(WINDOW).cast("long").alias("words"), (F.col("source") + F.col("i")).alias("source"))
         same = same.unionByName(compared(docs, stored(windows, "substring-odd-windows"), places, limit_bytes)[0])
-    return same.drop("source")
+    return same.unionByName(spans.where(F.col("words") < LONG_WORDS)).drop("source")
+
+
+def covered(spans: DataFrame) -> DataFrame:
+    """(doc_id, k, pos, words) of spans that may overlap -> the same words in as few spans as there can be."""
+    along = Window.partitionBy("doc_id", "k").orderBy("pos", "words")
+    end = F.col("pos") + F.col("words")
+    before = F.max(end).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("begins", F.coalesce(F.col("pos") > before, F.lit(True)).cast("long")).withColumn("end", end).withColumn("run", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "k", "run").agg(F.min("pos").alias("pos"), (F.max("end") - F.min("pos")).alias("words")).drop("run")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit_bytes: int = LIMIT_BYTES, range_bits: int = RANGE_BITS) -> DataFrame:
@@ -334,12 +349,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     windows = candidate_windows(rows, marks, limit_bytes)
     edges = stored(repeated_edges(windows), "substring-edges")
-    paths = stored(compact(linked_edges(edges), range_bits).withColumnRenamed("place", "path"), "substring-unitigs")
+    paths = stored(compact(linked_edges(edges, range_bits), range_bits).withColumnRenamed("place", "path"), "substring-unitigs")
     at = windows.select("h1", "h2", "doc_id", "k", "pos", "place")
     n = paths.count()
     found = at.join(F.broadcast(paths), ["h1", "h2"]) if n * 48 <= limit_bytes else skew_join(stored(at, "substring-windows"), paths, ["h1", "h2"])
     later = verified_spans(rows, found.select("doc_id", "k", "pos", "place", "path", "windows"), places, limit_bytes)
-    listed = later.groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "words")).alias("spans"))
+    listed = covered(later).groupBy("doc_id", "k").agg(F.collect_list(F.struct("pos", "words")).alias("spans"))
     return stored(listed.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True), "substring-removed")
 
 
@@ -347,7 +362,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def _cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, wholes, spans in parts:
         texts, wholes, spans, out = texts.fillna("").tolist(), wholes.tolist(), spans.tolist(), []
-        for start, end in text_batches(texts):
+        for start, end in text_batches(texts, PART_BYTES):
             words = Words(pa.array(texts[start:end], pa.string())).join()
             for i in range(start, end):
                 a, b = (int(x) for x in words.first[i - start : i - start + 2])
