@@ -30,6 +30,7 @@ result's name is replaced.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -313,9 +314,10 @@ def learn_classes(train: DataFrame, insults: dict[str, int], share: float) -> Le
         def of(texts: list[str]) -> Iterator[tuple[int, set[str]]]:
             grammar = Grammar(base)
             held: dict[int, set[str]] = {}
+            half = functools.cache(lambda text: zlib.crc32(texts[text].encode()) & 1)
             for text, codes, a, b in grammar.clauses(texts, (wanted,)):
                 if not any(c & 7 in never for c in codes):
-                    kind = f"{zlib.crc32(texts[text].encode()) & 1} {'heavy' if sum(c >> 4 for c in codes) >= HEAVY else 'light'} "
+                    kind = f"{half(text)} {'heavy' if sum(c >> 4 for c in codes) >= HEAVY else 'light'} "
                     held.setdefault(text, {kind}).update([kind, *(kind + w for token in grammar.tokens[a:b].to_pylist() for w in _WORD.findall(token) if base.letter(w)[0] in (OTHER, THREAT))])
             yield from held.items()
 
