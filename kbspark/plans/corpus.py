@@ -184,4 +184,4 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream.awaitTermination()
     if stream.exception():
         raise stream.exception()
-    return index.chunks(stream.lastProgress["batchId"]).select("kb_name", "file", "seq", "chunk_id", "content")
+    return index.chunks().select("kb_name", "file", "seq", "chunk_id", "content")
