@@ -47,36 +47,46 @@ def graph_nodes(records: DataFrame, order: str = "line_no") -> DataFrame:
     value |= {"cure_department": F.coalesce(F.array_join("cure_department", "、"), F.lit("")), "cure_way": F.coalesce(F.array_join("cure_way", "、"), F.lit("")), "easy_get": F.lit("")}
     props = F.create_map(*[x for c in DISEASE_PROPS for x in (F.lit(c), value[c])])
     diseases = first_nodes(records, "disease", "name", order, props)
-    producers = records.select(F.explode("drug_detail").alias("d")).select(F.lit("producer").alias("t"), drug_parts(F.col("d"))[0].alias("name"))
-    drugs = records.select(F.explode("drug_detail").alias("d")).select(F.lit("drug").alias("t"), drug_parts(F.col("d"))[1].alias("name"))
-    others = reduce(DataFrame.unionByName, [records.select(F.lit(t).alias("t"), F.explode(c).alias("name")) for t, c in NODE_ARRAYS] + [producers, drugs])
-    rest = others.where("name IS NOT NULL").distinct().select(vid(F.col("t"), F.col("name")).alias("vid"), F.col("t").alias("node_type"), "name", F.create_map().cast("map<string,string>").alias("props"))
+    of_type = lambda t, name=lambda x: x: lambda x: F.struct(F.lit(t).alias("t"), name(x).alias("name"))
+    named = [F.transform(names_in(c), of_type(t)) for t, c in NODE_ARRAYS]
+    named += [F.transform(names_in("drug_detail"), of_type("producer", lambda d: drug_parts(d)[0])), F.transform(names_in("drug_detail"), of_type("drug", lambda d: drug_parts(d)[1]))]
+    # all kinds of a record leave it in one array, so the arrays are read and taken apart once
+    others = records.select(F.explode(F.concat(*named)).alias("x")).select("x.*").where("name IS NOT NULL").distinct()
+    rest = others.select(vid(F.col("t"), F.col("name")).alias("vid"), F.col("t").alias("node_type"), "name", F.create_map().cast("map<string,string>").alias("props"))
     return diseases.unionByName(rest)
 
 
+def names_in(c: str) -> Column:
+    """An array column, empty where it is missing."""
+    return F.coalesce(c, F.array().cast("array<string>"))
+
+
 def graph_edges(records: DataFrame, need_check: bool = False) -> DataFrame:
-    """Distinct edges. One department: the disease belongs to it; two: the second belongs to the first, the disease to the second; else none."""
-    me = vid("disease", F.col("name"))
-    parts = [
-        records.select(F.lit(rel).alias("rel"), me.alias("src"), F.explode(c).alias("to")).where("to IS NOT NULL").select("rel", "src", vid(t, F.col("to")).alias("dst"))
-        for rel, t, c in EDGE_ARRAYS if need_check or rel != "need_check"
-    ]
-    d, dep = F.col("cure_department"), lambda i: vid("department", F.get("cure_department", F.lit(i)))
-    parts.append(records.where(F.size(d) == 2).select(F.lit("belongs_to").alias("rel"), dep(1).alias("src"), dep(0).alias("dst")))
-    parts.append(records.where(F.size(d).isin(1, 2)).select(F.lit("cure_department").alias("rel"), me.alias("src"), F.when(F.size(d) == 1, dep(0)).otherwise(dep(1)).alias("dst")))
-    producer, drug = drug_parts(F.col("x"))
-    parts.append(records.select(F.explode("drug_detail").alias("x")).select(F.lit("drugs_of").alias("rel"), vid("producer", producer).alias("src"), vid("drug", drug).alias("dst")))
-    return reduce(DataFrame.unionByName, parts).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    """Distinct edges. One department: the disease belongs to it; two: the second belongs to the first, the disease to the second; else none.
+
+    All edges of a record leave it in one array of names, which are made distinct before they become ids.
+    """
+    ends = {rel: ("disease", t) for rel, t, _ in EDGE_ARRAYS} | {"belongs_to": ("department", "department"), "cure_department": ("disease", "department"), "drugs_of": ("producer", "drug")}
+    edge = lambda rel, src, dst: F.struct(F.lit(rel).alias("rel"), src.alias("src"), dst.alias("dst"))
+    d, name = F.col("cure_department"), F.col("name")
+    dep = lambda i: F.get("cure_department", F.lit(i))
+    to = lambda rel: lambda x: edge(rel, name, x)
+    found = [F.transform(names_in(c), to(rel)) for rel, _, c in EDGE_ARRAYS if need_check or rel != "need_check"]
+    found.append(F.transform(names_in("drug_detail"), lambda x: edge("drugs_of", *drug_parts(x))))
+    found.append(F.array(F.when(F.size(d) == 2, edge("belongs_to", dep(1), dep(0)))))
+    found.append(F.array(F.when(F.size(d).isin(1, 2), edge("cure_department", name, F.when(F.size(d) == 1, dep(0)).otherwise(dep(1))))))
+    edges = records.select(F.explode(F.concat(*found)).alias("x")).where("x IS NOT NULL").select("x.*").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    kind = lambda k: reduce(lambda rest, rel: F.when(F.col("rel") == rel, ends[rel][k]).otherwise(rest), ends, F.lit(None).cast("string"))
+    return edges.select("rel", vid(kind(0), F.col("src")).alias("src"), vid(kind(1), F.col("dst")).alias("dst"))
 
 
 def validate_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges with both ends among the nodes, the others). Two semi-joins; hubs are split by skew handling."""
-    ids = nodes.select("vid")
-    kept = edges.join(ids.withColumnRenamed("vid", "src"), "src", "left_semi").join(ids.withColumnRenamed("vid", "dst"), "dst", "left_semi")
-    gone = edges.join(ids.withColumnRenamed("vid", "src"), "src", "left_anti").unionByName(
-        edges.join(ids.withColumnRenamed("vid", "src"), "src", "left_semi").join(ids.withColumnRenamed("vid", "dst"), "dst", "left_anti")
-    )
-    return kept.select("rel", "src", "dst"), gone.select("rel", "src", "dst")
+    """(edges with both ends among the nodes, the others): each end is looked up once; hubs are split by skew handling."""
+    flagged = edges
+    for end in ("src", "dst"):
+        flagged = flagged.join(nodes.select(F.col("vid").alias(end), F.lit(True).alias(f"has_{end}")).distinct(), end, "left")
+    whole = F.col("has_src").isNotNull() & F.col("has_dst").isNotNull()
+    return flagged.where(whole).select("rel", "src", "dst"), flagged.where(~whole).select("rel", "src", "dst")
 
 
 def graph_schema(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions.columns import extension
-from kbspark.functions.text import SPLITTERS
+from kbspark.functions.text import SPLITTERS, splitter
 
 #: Loaders by extension: bytes -> list of texts.
 LOADERS: dict[str, Callable[[bytes], list[str]]] = {}
@@ -83,14 +83,14 @@ def embed(rows: DataFrame, make_model: Callable[[], Callable[[list[str]], list[l
 
 
 def register_split_text(spark, name: str = "split_text") -> None:
-    """A table function for SQL: split_text(text, splitter) -> (seq, chunk), for LATERAL joins."""
+    """A table function for SQL: split_text(text, splitter) -> (seq, chunk), for LATERAL joins; an unknown name cuts sentences."""
     from pyspark.sql.functions import udtf
 
-    known = dict(SPLITTERS)
+    known, by_name = dict(SPLITTERS), splitter
 
     @udtf(returnType="seq int, chunk string")
     class SplitText:
         def eval(self, text: str, splitter: str):
-            yield from enumerate(known[splitter](text) if text else [])
+            yield from enumerate((known.get(splitter) or by_name(splitter))(text) if text else [])
 
     spark.udtf.register(name, SplitText)

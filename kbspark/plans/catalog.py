@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.operators import catalog, graph
+from kbspark.operators import catalog, graph, patterns
 from kbspark.plans.base import CORPUS, LINES, corpus, lines, query
 from kbspark.sources.io import table
 
@@ -208,3 +208,21 @@ def graph_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = star(spark, sf_dir)
     return graph.graph_neighbors(nodes.where("node_type = 'supplier'"), nodes, edges, "supplies")
+
+
+#: Patterns of all kinds that derive from the documents: parts of file names, beginnings, ends, gaps, single characters, wildcards alone, escapes.
+PATTERNS = r"""n AS (SELECT DISTINCT source || '/Doc_' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '%' ELSE '' END || '.txt' AS name FROM documents),
+p AS (SELECT DISTINCT CASE doc_id % 12 WHEN 0 THEN '%doc_' || doc_id || '%' WHEN 1 THEN source || '/%' || doc_id % 100 || '.TXT' WHEN 2 THEN '%' || doc_id % 10 || '\%.txt' WHEN 3 THEN 'SRC_/doc\_' || doc_id || '.txt'
+  WHEN 4 THEN '%\%%' WHEN 5 THEN '%' || doc_id % 10 || '%' WHEN 6 THEN '%' || doc_id % 10 || '_' || doc_id % 7 || '%' WHEN 7 THEN source || '/doc_' || doc_id || '.txt' WHEN 8 THEN repeat('_', 12 + doc_id % 9)
+  WHEN 9 THEN 'none%' || doc_id WHEN 10 THEN '%t' ELSE repeat('_', 18 + doc_id % 4) || '%' END AS pattern FROM documents)"""
+
+
+@query(f"WITH {PATTERNS} SELECT pattern, name FROM p JOIN n ON name ILIKE pattern ESCAPE '\\'")
+def match_name_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all files against a table of patterns."""
+    docs = table(spark, sf_dir, "documents")
+    name = "concat(source, '/Doc_', doc_id, CASE WHEN doc_id % 5 = 0 THEN '%' ELSE '' END, '.txt')"
+    pattern = r"""CASE doc_id % 12 WHEN 0 THEN concat('%doc_', doc_id, '%') WHEN 1 THEN concat(source, '/%', doc_id % 100, '.TXT') WHEN 2 THEN concat('%', doc_id % 10, r'\%.txt') WHEN 3 THEN concat(r'SRC_/doc\_', doc_id, '.txt')
+      WHEN 4 THEN r'%\%%' WHEN 5 THEN concat('%', doc_id % 10, '%') WHEN 6 THEN concat('%', doc_id % 10, '_', doc_id % 7, '%') WHEN 7 THEN concat(source, '/doc_', doc_id, '.txt') WHEN 8 THEN repeat('_', CAST(12 + doc_id % 9 AS INT))
+      WHEN 9 THEN concat('none%', doc_id) WHEN 10 THEN '%t' ELSE concat(repeat('_', CAST(18 + doc_id % 4 AS INT)), '%') END"""
+    return patterns.ilike_join(docs.select(F.expr(name).alias("name")), docs.select(F.expr(pattern).alias("pattern")))

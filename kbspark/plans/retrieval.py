@@ -280,3 +280,29 @@ def trace_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("elapsed"), F.col("ts").alias("start_ts"))
     return evaluate.trace_windows(spans).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT event_type AS stage, date_trunc('day', ts) AS day, count(*) AS spans, true AS median_holds, true AS p95_holds FROM events GROUP BY 1, 2")
+def trace_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of hours merged to days; whether at least (and at most) the share of spans less (more) 2 % lies at or under (strictly under) each quantile."""
+    spans = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("elapsed"), F.col("ts").alias("start_ts"))
+    days = evaluate.merged_sketches(evaluate.latency_sketches(spans).withColumn("day", F.date_trunc("day", "window_start")), "stage", "day")
+    found = evaluate.sketch_quantiles(days, median=0.5, p95=0.95)
+    at = spans.withColumn("day", F.date_trunc("day", "start_ts")).join(found, ["stage", "day"])
+    holds = lambda c, share: ((F.avg((F.col("elapsed") <= F.col(c)).cast("int")) >= share - 0.02) & (F.avg((F.col("elapsed") < F.col(c)).cast("int")) <= share + 0.02)).alias(f"{c}_holds")
+    return at.groupBy("stage", "day", "spans").agg(holds("median", 0.5), holds("p95", 0.95))
+
+
+@query("""WITH RECURSIVE s AS (SELECT event_id // 1000 AS trace_id, event_id AS span_id, CAST(round(value * 100) AS BIGINT) AS elapsed,
+  CASE WHEN event_id % 1000 = 0 THEN NULL WHEN event_id // 1000 % 7 = 3 THEN event_id - 1 ELSE event_id // 1000 * 1000 + (event_id % 1000 - 1) // 2 END AS parent_id FROM events),
+c AS (SELECT parent_id AS span_id, sum(elapsed) AS inner_time FROM s GROUP BY 1),
+t AS (SELECT s.*, CAST(elapsed - coalesce(inner_time, 0) AS BIGINT) AS self_time FROM s LEFT JOIN c USING (span_id)),
+w AS (SELECT trace_id, span_id, span_id AS root_id, 0::BIGINT AS depth, self_time, self_time AS path_time FROM t WHERE parent_id IS NULL
+  UNION ALL SELECT t.trace_id, t.span_id, w.root_id, w.depth + 1, t.self_time, w.path_time + t.self_time FROM w JOIN t ON t.parent_id = w.span_id)
+SELECT *, row_number() OVER (PARTITION BY trace_id, root_id ORDER BY path_time DESC, span_id) = 1 AS ends_critical FROM w""")
+def span_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of a thousand events each: binary trees, and every seventh one a chain."""
+    trace, at = F.floor(F.col("event_id") / 1000), F.col("event_id") % 1000
+    parent = F.when(at == 0, None).when(trace % 7 == 3, F.col("event_id") - 1).otherwise(trace * 1000 + F.floor((at - 1) / 2))
+    spans = table(spark, sf_dir, "events").select(trace.alias("trace_id"), F.col("event_id").alias("span_id"), parent.alias("parent_id"), F.round(F.col("value") * 100).cast("long").alias("elapsed"))
+    return evaluate.span_tree(spans)
