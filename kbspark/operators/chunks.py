@@ -7,7 +7,9 @@ A file's chunks stay an array in one row until merging is done, then explode onc
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from kbspark.functions.columns import chunk_id, extension, in_order, joined, without_extension
 from kbspark.functions.text import merge_small, split_characters
 from kbspark.functions.text import splitter as splitter_of
+from kbspark.sources.io import stored
 
 #: One table holds the files of all bases, and two bases may have files of one name.
 FILE, SOURCE = ("kb_name", "file"), ("kb_name", "source")
@@ -45,20 +48,71 @@ def split_texts(docs: DataFrame, text: str = "text", splitter: str = "recursive"
     return docs.select(*rest, F.posexplode(array_udf(split)(F.col(text))).alias("seq", "content"))
 
 
-def merge_small_chunks(chunks: DataFrame, by: tuple[str, ...] = FILE, seq: str = "seq", content: str = "content", least: int = 80) -> DataFrame:
-    """(by, seq, content) of every group's merged chunks. A group is one file's chunks."""
-    merge = array_udf_of_arrays(lambda xs: merge_small(xs, least))
-    grouped = chunks.groupBy(*by).agg(F.transform(F.array_sort(in_order(seq, content)), lambda x: x["text"]).alias("parts"))
-    return grouped.select(*by, F.posexplode(merge("parts")).alias("seq", "content"))
-
-
-def array_udf_of_arrays(fn: Callable[[list[str]], list[str]]) -> Callable:
-    @F.pandas_udf("array<string>")
-    def udf(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in arrays:
-            yield pd.Series([fn(list(x)) for x in batch], dtype=object)
-
-    return udf
+#: Chunks of a file that are looked at together where small ones are merged.
+MERGE_PART = 4096
+
+
+def merge_steps(lengths: list[int], states: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a run of chunks does to a file that is being merged: (state behind it, chunks begun in it) for each state before it.
+
+    State 0: the next chunk begins a new one; 1 + n: the last one has n characters and takes in the next.
+    """
+    begun = np.zeros(len(states), np.int64)
+    for n in lengths:
+        free = states == 0
+        begun += free
+        grown = np.where(states + n < 2 * least, states + 1 + n, 0)
+        states = np.where(free, 1 + n if n < least else 0, grown)
+    return states, begun
+
+
+def merge_small_chunks(chunks: DataFrame, by: tuple[str, ...] = FILE, seq: str = "seq", content: str = "content", least: int = 80, part: int = MERGE_PART) -> DataFrame:
+    """(by, seq, content) of every group's merged chunks, by the rule of `merge_small`. A group is one file's chunks.
+
+    A file is looked at in parts of `part` places. What a part does hangs on the few states that the parts before it can
+    leave, so all parts work at once: each gives its table of states, a file's tables are chained, and then each
+    chunk knows the one that it goes to. So no file has to fit a row or a task.
+    """
+    place = F.floor(F.col(seq) / part).alias("__part")
+    head = chunks.groupBy(*by).agg(F.min(F.floor(F.col(seq) / part)).alias("__first"))
+    parts = chunks.select(*by, place, F.struct(F.col(seq).cast("long").alias("seq"), F.col(content).alias("text")).alias("x")).groupBy(*by, "__part").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    same = reduce(lambda a, b: a & b, [parts[c].eqNullSafe(head[c]) for c in by])
+    parts = stored(parts.join(head, same).select(*[parts[c] for c in by], "__part", "xs", (F.col("__part") == F.col("__first")).alias("opens")), "merge-parts")
+
+    @F.pandas_udf("struct<states:array<int>,begun:array<long>>")
+    def table(lengths: pd.Series, opens: pd.Series) -> pd.DataFrame:
+        found = [merge_steps([min(n, 2 * least) for n in own], np.zeros(1, np.int64) if first else np.arange(2 * least + 1), least) for own, first in zip(lengths, opens, strict=True)]
+        return pd.DataFrame([(s.astype(np.int32), g) for s, g in found], columns=["states", "begun"])
+
+    sizes = F.transform("xs", lambda x: F.char_length(x["text"]))
+    tables = parts.select(*by, "__part", table(sizes, "opens").alias("t")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__part", "t"))).alias("ts"))
+    # along the parts of a file: the state and the number of chunks begun before each one
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("begun"), F.array().cast("array<struct<part:bigint,state:int,begun:bigint>>").alias("seen"))
+    step = lambda a, x: F.struct(
+        F.get(x["t"]["states"], a["state"]).alias("state"), (a["begun"] + F.get(x["t"]["begun"], a["state"])).alias("begun"),
+        F.concat(a["seen"], F.array(F.struct(x["__part"].alias("part"), a["state"].alias("state"), a["begun"].alias("begun")))).alias("seen"),
+    )
+    chain = tables.select(*[F.col(c).alias(f"__{c}") for c in by], F.aggregate("ts", start, step).alias("c"))
+    # a last one that is still small joins the one before
+    short = (F.col("c.state") > 0) & (F.col("c.state") <= least) & (F.col("c.begun") > 1)
+    chain = chain.select(*[f"__{c}" for c in by], F.when(short, F.col("c.begun") - 2).otherwise(F.col("c.begun") - 1).alias("most"), F.inline("c.seen"))
+    same = reduce(lambda a, b: a & b, [parts[c].eqNullSafe(chain[f"__{c}"]) for c in by])
+
+    @F.pandas_udf("array<long>")
+    def places(lengths: pd.Series, states: pd.Series, begun: pd.Series) -> pd.Series:
+        out = []
+        for own, state, n in zip(lengths, states, begun, strict=True):
+            at, mine = int(n) - 1, []
+            for size in own:
+                at += state == 0
+                mine.append(at)
+                state = (1 + size if size < least else 0) if state == 0 else (state + 1 + size if state + size < 2 * least else 0)
+            out.append(mine)
+        return pd.Series(out, dtype=object)
+
+    placed = parts.join(chain, same & (parts["__part"] == chain["part"])).select(*[parts[c] for c in by], "xs", "most", places(sizes, "state", "begun").alias("at"))
+    rows = placed.select(*by, "most", F.explode(F.arrays_zip("at", "xs")).alias("x")).select(*by, F.least("x.at", "most").cast("int").alias("__seq"), F.col("x.xs.seq").alias("__at"), F.col("x.xs.text").alias("__text"))
+    return rows.groupBy(*by, F.col("__seq").alias("seq")).agg(joined(in_order("__at", "__text"), "\n").alias("content")).select(*by, "seq", "content")
 
 
 def small_to_big(chunks: DataFrame, size: int) -> DataFrame:

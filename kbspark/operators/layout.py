@@ -130,25 +130,36 @@ def page_columns(pages: DataFrame, words: DataFrame, share: float = 0.4, margin:
     return pages.select("file", "page").distinct().join(seen, ["file", "page"], "left").select("file", "page", F.when(F.col("r") > share, 2).otherwise(1).alias("columns"))
 
 
-def _side(words: pd.DataFrame, tolerance: float) -> list[str]:
-    """Lines of one side: words whose top is within the tolerance of the line's first word, ordered by x0."""
-    lines: list[list[tuple]] = []
-    for top, x0, number, text in sorted(zip(words["top"], words["x0"], words["word_no"], words["text"], strict=True), key=lambda w: (w[0], w[2])):
-        if not lines or abs(top - lines[-1][0][0]) > tolerance:
-            lines.append([])
-        lines[-1].append((top, x0, number, text))
-    return [" ".join(w[3] for w in sorted(line, key=lambda w: (w[1], w[2]))) for line in lines]
+def _lines(words: Column, tolerance: float) -> Column:
+    """Words in order of their lines: those whose top is within the tolerance of the line's first word are a line, ordered by x0.
 
+    words: array of (top, word_no, x0, text), sorted; the fold's state is the line's first top and the words so far.
+    """
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("line"), F.array().cast("array<struct<line:int,x0:double,word_no:bigint,text:string>>").alias("seen"))
 
-def reflow_columns(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """(file, page, text) of two-column pages: the left side's lines, a blank line, the right side's. A group is one page."""
+    def step(a: Column, w: Column) -> Column:
+        new = a["anchor"].isNull() | (F.abs(w["top"] - a["anchor"]) > tolerance)
+        line = F.when(new, a["line"] + 1).otherwise(a["line"])
+        word = F.struct(line.alias("line"), w["x0"].alias("x0"), w["word_no"].alias("word_no"), w["text"].alias("text"))
+        return F.struct(F.when(new, w["top"]).otherwise(a["anchor"]).alias("anchor"), line.alias("line"), F.concat(a["seen"], F.array(word)).alias("seen"))
+
+    return F.array_sort(F.aggregate(words, start, step)["seen"])
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        middle = pdf["page_width"] / 2
-        left, right = _side(pdf[pdf["x0"] < middle], tolerance), _side(pdf[pdf["x0"] >= middle], tolerance)
-        return pd.DataFrame({"file": [pdf["file"].iloc[0]], "page": [pdf["page"].iloc[0]], "text": ["\n".join([*left, "", *right])]})
 
-    return words.groupBy("file", "page").applyInPandas(page, "file string, page int, text string")
+def _written(seen: str) -> Column:
+    parts = F.transform(seen, lambda w, i: F.concat(F.when(i == 0, "").when(F.get(seen, i - 1)["line"] == w["line"], " ").otherwise("\n"), w["text"]))
+    return F.array_join(parts, "")
+
+
+def reflow_columns(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """(file, page, text) of two-column pages: the left side's lines, a blank line, the right side's. A page is one row while it is put in order; a missing text is empty."""
+    word = F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("top", "double"), ("word_no", "long"), ("x0", "double"))], F.coalesce("text", F.lit("")).alias("text"))
+    middle = F.col("page_width") / 2
+    sides = words.groupBy("file", "page").agg(*[F.array_sort(F.collect_list(F.when(own, word))).alias(side) for side, own in (("left", F.col("x0") < middle), ("right", F.col("x0") >= middle))])
+    # a column for each step, as a fold inside a lambda would run again for every word
+    lined = sides.select("file", "page", *[_lines(F.col(side), tolerance).alias(side) for side in ("left", "right")])
+    text = F.concat(_written("left"), F.when(F.size("left") > 0, "\n").otherwise(""), F.when(F.size("right") > 0, "\n").otherwise(""), _written("right"))
+    return lined.select("file", F.col("page").cast("int").alias("page"), text.alias("text"))
 
 
 def slide_order(shapes: DataFrame, emu_per_inch: int = 914_400) -> DataFrame:

@@ -44,8 +44,32 @@ def load_files(files: DataFrame, path: str = "path", content: str = "content") -
     return files.withColumn("loaded", load(extension(path), F.col(content))).select(*[c for c in files.columns if c != content], "loaded.texts", "loaded.error")
 
 
-def generate(prompts: DataFrame, make_model: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt", into: str = "answer", batch_size: int = 16) -> DataFrame:
-    """Answers of a text model; where a batch fails its rows are tried alone, and a failed one gets null and an error."""
+def budget_batches(sizes: list[int], most: int, budget: int) -> list[list[int]]:
+    """Places of the rows by batch: rows of like size together, `most` of them at most, and (number of rows) * (largest size) within the budget; a larger row is alone."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
+        if out and len(out[-1]) < most and (len(out[-1]) + 1) * sizes[i] <= budget:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def in_batches(texts: list[str], call: Callable[[list[str]], list], most: int, budget: int) -> list:
+    """Results of a batch function in the order of the texts, which it gets sorted by length, so that little is padded."""
+    out: list = [None] * len(texts)
+    for places in budget_batches([len(t) for t in texts], most, budget):
+        for i, x in zip(places, call([texts[i] for i in places]), strict=True):
+            out[i] = x
+    return out
+
+
+#: Characters of a padded batch.
+BUDGET = 65_536
+
+
+def generate(prompts: DataFrame, make_model: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt", into: str = "answer", batch_size: int = 16, budget: int = BUDGET) -> DataFrame:
+    """Answers of a text model; where a batch fails its rows are tried alone, and a failed one gets null and an error. A missing prompt is empty."""
 
     @F.pandas_udf("struct<answer:string,error:string>")
     def call(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -58,13 +82,12 @@ def generate(prompts: DataFrame, make_model: Callable[[], Callable[[list[str]],
                 return [(None, f"{type(e).__name__}: {e}")] if len(some) == 1 else [x for t in some for x in safe([t])]
 
         for batch in texts:
-            all_texts = list(batch)
-            yield pd.DataFrame([x for at in range(0, len(all_texts), batch_size) for x in safe(all_texts[at : at + batch_size])], columns=["answer", "error"])
+            yield pd.DataFrame(in_batches([t or "" for t in batch], safe, batch_size, budget), columns=["answer", "error"])
 
     return prompts.withColumn("__out", call(prompt)).withColumns({into: F.col("__out.answer"), "error": F.col("__out.error")}).drop("__out")
 
 
-def embed(rows: DataFrame, make_model: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "content", into: str = "embedding", prefix: str = "", normalize: bool = True, batch_size: int = 64) -> DataFrame:
+def embed(rows: DataFrame, make_model: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "content", into: str = "embedding", prefix: str = "", normalize: bool = True, batch_size: int = 64, budget: int = BUDGET) -> DataFrame:
     """Vectors of a text column; prefix: the instruction put before queries. Repartition uneven inputs first."""
 
     @F.pandas_udf("array<float>")
@@ -72,12 +95,13 @@ def embed(rows: DataFrame, make_model: Callable[[], Callable[[list[str]], list[l
         import numpy as np
 
         model = make_model()
+
+        def vectors(some: list[str]) -> list:
+            found = np.asarray(model(some), np.float32)
+            return list(found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12) if normalize else found)
+
         for batch in texts:
-            all_texts, out = [prefix + (t or "") for t in batch], []
-            for at in range(0, len(all_texts), batch_size):
-                vectors = np.asarray(model(all_texts[at : at + batch_size]), np.float32)
-                out += list(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12) if normalize else vectors)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series(in_batches([prefix + (t or "") for t in batch], vectors, batch_size, budget), dtype=object)
 
     return rows.withColumn(into, call(text))
 

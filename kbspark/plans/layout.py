@@ -130,7 +130,14 @@ def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.page_columns(all_words.select("file", "page"), all_words)
 
 
-@query()
+@query(f"""WITH RECURSIVE {WORDS}, b AS (SELECT file, pos // 200 AS page, pos, word, (pos * 37 + doc_id * 11) % 600 AS x0, pos // 8 % 90 * 10 + pos % 3 AS top FROM w),
+h AS (SELECT *, CASE WHEN x0 < 300 THEN 0 ELSE 1 END AS side FROM b), s AS (SELECT *, row_number() OVER (PARTITION BY file, page, side ORDER BY top, pos) AS i FROM h),
+r AS (SELECT file, page, side, i, top AS anchor, 1 AS line FROM s WHERE i = 1
+  UNION ALL SELECT s.file, s.page, s.side, s.i, CASE WHEN abs(s.top - anchor) > 3 THEN s.top ELSE anchor END, CASE WHEN abs(s.top - anchor) > 3 THEN line + 1 ELSE line END
+  FROM r JOIN s ON s.file = r.file AND s.page = r.page AND s.side = r.side AND s.i = r.i + 1),
+l AS (SELECT file, page, side, line, string_agg(word, ' ' ORDER BY x0, pos) AS text FROM r JOIN s USING (file, page, side, i) GROUP BY ALL),
+t AS (SELECT file, page, string_agg(text, chr(10) ORDER BY line) FILTER (side = 0) AS a, string_agg(text, chr(10) ORDER BY line) FILTER (side = 1) AS b FROM l GROUP BY ALL)
+SELECT file, page::INT AS page, coalesce(a || chr(10), '') || coalesce(chr(10) || b, '') AS text FROM t""")
 def reflow_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reflow_columns(boxes(spark, sf_dir))
 

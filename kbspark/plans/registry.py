@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kbspark.plans import base, catalog, corpus, index, layout, retrieval  # noqa: F401  (importing registers)
+from kbspark.plans import base, catalog, corpus, index, layout, models, retrieval  # noqa: F401  (importing registers)
 
 
 def queries() -> dict:

@@ -49,8 +49,9 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_graph_source(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, missing fields null; line_no keeps the order of the file's rows."""
-    return spark.read.schema(GRAPH_SOURCE).json(path).withColumn("line_no", F.monotonically_increasing_id())
+    """JSON lines, missing fields null; line_no (file, offset of the split, place in it) is the order of the rows, by file name and then as they stand in it."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.schema(GRAPH_SOURCE).json(path).withColumn("line_no", at)
 
 
 def write_eval(records: DataFrame, path: str) -> None:
