@@ -7,7 +7,7 @@ vocabulary's pattern; a match that is itself a token is that token, any other is
 model. Decoding maps ids back to their bytes.
 
 Defined results: null and empty texts have no ids; a text has no length limit; each row stands
-alone; other columns are carried along by `encode_decode`.
+alone; other columns are carried along, but one of the result's name (`into`), which it replaces.
 """
 
 from __future__ import annotations

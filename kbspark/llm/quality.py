@@ -6,13 +6,16 @@ A ratio over the upper limit means repetition, one under the lower limit means t
 compressor finds no pattern in. The base rules (few words, repeated word windows) reject as well.
 
 Defined results: null and empty texts have no words and fail the base rules; a text has no length
-limit; each row is judged alone, so repeated rows get equal results; extra columns are kept.
+limit; each row is judged alone, so repeated rows get equal results; extra columns are kept, but one of the result's name,
+which it replaces.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import beside
+from kbspark.llm.common import beside, maybe_broadcast
 
 #: Fixed values: (texts of fewer bytes than this, lowest ratio, highest ratio). From 256 to 32,768 bytes they are
-#: fitted on the 3,980 labelled documents of sf0.1 (zstd level 3): the highest ratio is the 99.5 % quantile of
+#: what fit_bands gives for the 3,980 labelled documents of sf0.1 (zstd level 3): the highest ratio is the 99.5 % quantile of
 #: the documents labelled good that pass the base rules, and from 512 bytes the lowest is 0.25 under their smallest.
 #: Shorter texts all fail the base rules there; longer ones are too few to fit.
 BANDS = (
@@ -131,6 +134,38 @@ def score_quality(docs: DataFrame, text: str = "text", into: str = "quality") ->
     return docs.withColumn(into, judge(F.col(text)))
 
 
+#: Labelled rows that bands are fitted on, about; share of the good ones that the upper limit lets pass; room under the smallest.
+MAX_LABELS, PASSING, ROOM = 400_000, 0.995, 0.25
+#: Documents that a band needs to be fitted, and bytes from which on it has a fitted lower limit.
+BAND_ROWS, LOW_FROM = 20, 512
+
+
+def fit_bands(
+    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", bands: tuple = BANDS, max_labels: int = MAX_LABELS,
+) -> tuple[tuple[float, float, float], ...]:
+    """Bands with limits fitted on the documents labelled good (1) that pass the base rules; lengths with fewer than BAND_ROWS of them keep theirs.
+
+    Labelled rows over `max_labels` are thinned by a hash of their id; null and other labels are left out.
+    """
+    good = labels.where(F.col(label) == 1).select(F.col(doc_id).alias("id")).distinct()
+    n = good.count()
+    if n > max_labels:
+        good = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(max_labels / n * (1 << 30)))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(maybe_broadcast(good, min(n, max_labels), 16), "id")
+    scored = score_quality(rows, "text", "q").where("NOT q.base_failed").select(F.octet_length("text").alias("size"), "q.ratio")
+    below = [b for b, _, _ in bands]
+    number = reduce(lambda rest, k: F.when(F.col("size") < below[k], k).otherwise(rest), range(len(bands) - 2, -1, -1), F.lit(len(bands) - 1))
+    found = {r["band"]: r for r in scored.groupBy(number.alias("band")).agg(F.count("*").alias("n"), F.min("ratio").alias("least"), F.expr(f"percentile(ratio, {PASSING})").alias("most")).collect()}
+    out = []
+    for k, (upto, low, high) in enumerate(bands):
+        r = found.get(k)
+        if r is not None and r["n"] >= BAND_ROWS:
+            low = math.floor(100 * (r["least"] - ROOM)) / 100 if k and below[k - 1] >= LOW_FROM else low
+            high = math.ceil(100 * r["most"]) / 100
+        out.append((upto, low, high))
+    return tuple(out)
+
+
 def keep_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that pass."""
     return beside(docs, score_quality, text).where("quality.kept").select("row.*")
