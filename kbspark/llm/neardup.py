@@ -283,7 +283,10 @@ def _marked(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
     sketched = stored(sketches(docs, text, doc_id, rows_for(percent)), "sketches")
     known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "k1", "k2"))
     sets = sketched.where("n_shingles > 0").groupBy("set_digest").agg(F.min(known).alias("x"), F.first("bands").alias("bands"))
-    reps = stored(sets.select("set_digest", "x.*", "bands", F.monotonically_increasing_id().alias("rep")), "reps")
+    # numbers in order of the ids, so that a bucket's pivot is its smallest document, which copies are near to
+    order = ("doc_id", "k1", "k2")
+    ranged = sets.select("set_digest", "x.*", "bands").repartitionByRange(*order).sortWithinPartitions(*order)
+    reps = stored(ranged.withColumn("rep", F.monotonically_increasing_id()), "reps")
     comps = near_components(docs, reps.where("doc_id IS NOT NULL"), text, doc_id, percent).withColumnRenamed("node", "rep")
     named = stored(comps.join(reps.select("rep", "doc_id"), "rep"), "named")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
