@@ -40,6 +40,33 @@ def test_ilike_join_of_nothing(spark):
     assert patterns.ilike_join(some.withColumnRenamed("pattern", "name"), none.withColumnRenamed("name", "pattern")).collect() == []
 
 
+def sent_uncounted(node):
+    """Whether a side of a broadcast join explodes rows that nothing has counted: no aggregate, and so no shuffle, stands above them."""
+    explodes = lambda x: x.nodeName() == "Generate" or "Aggregate" not in x.nodeName() and any(map(explodes, below(x)))
+    below = lambda x: [x.children().apply(i) for i in range(x.children().size())]
+    side = node.nodeName() == "BroadcastHashJoin" and (node.left() if node.buildSide().toString() == "BuildLeft" else node.right())
+    return bool(side) and explodes(side) or any(map(sent_uncounted, below(node)))
+
+
+@pytest.mark.parametrize("few", [0, 1 << 30])
+def test_ilike_join_sends_no_exploded_names(spark, monkeypatch, few):
+    """The pieces of the names never go through the driver, though their file is small; lengths of wildcards alone go if they are counted as few."""
+    monkeypatch.setattr(patterns, "FEW_BYTES", few, raising=False)
+    names = [f"src{i % 3}/Doc_{i}.txt" for i in range(60)]
+    asked = [f"%doc_{i}%" for i in range(2000)] + [f"src{i}/%{i}.TXT" for i in range(30)] + ["%c_1%", "%_1%", "%9%"]
+    wild = ["%", "_" * 14, "_" * 15 + "%"]
+    for own, sent in ((asked, False), (asked + wild, few > 0)):
+        got = patterns.ilike_join(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(p,) for p in own], "pattern string"))
+        assert sent_uncounted(got._jdf.queryExecution().sparkPlan()) == sent
+        assert sorted(map(tuple, got.select("pattern", "name").collect())) == sorted((p, n) for p in own for n in names if like(n, p))
+
+
+def test_numbered_names_are_told_apart(spark):
+    """A number of six digits is looked up as a whole, not by three digits that a fixed share of all names hold."""
+    row = spark.range(1).select(patterns.pattern_pieces(F.lit("%doc_123456%"), patterns.PIECES[0]).alias("pieces")).first()
+    assert row["pieces"] == ["123456"]
+
+
 def test_sketches_merge(spark):
     """Sketches of hours, merged, have ranks within 2 % of the exact ones, and counts that are exact; a stream gives the same counts."""
     values = [float(i * 7919 % 20_011) for i in range(20_000)]
