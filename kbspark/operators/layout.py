@@ -33,9 +33,9 @@ def crop_lines(lines: DataFrame, low: float = 0.05, high: float = 0.95, footers:
 def classify_documents(pages: DataFrame) -> DataFrame:
     """(file, class) from (file, page, text): handbook, policy, table or plain, in this order."""
     first, second = (F.coalesce(F.max(F.when(F.col("page") == n, F.col("text"))), F.lit("")) for n in (1, 2))
-    own = pages.where("page <= 2").groupBy("file").agg(first.alias("p1"), second.alias("p2"))
-    files = pages.select("file").distinct().join(own, "file", "left").fillna("", ["p1", "p2"])
-    pdf = F.lower("file").endswith(".pdf")
+    # later pages count as files, without their text; a missing name is that of no PDF
+    files = pages.select("file", "page", F.when(F.col("page") <= 2, F.col("text")).alias("text")).groupBy("file").agg(first.alias("p1"), second.alias("p2"))
+    pdf = F.coalesce(F.lower("file").endswith(".pdf"), F.lit(False))
     kind = (
         F.when(~pdf, "plain").when(F.contains("p1", F.lit("产品版本号")) & F.contains("p1", F.lit("发布日期")), "handbook")
         .when((F.col("p1") != "") & F.col("file").rlike(DOCUMENT_NUMBERS), "policy").when(F.contains(F.concat("p1", "p2"), F.lit("明细表")), "table").otherwise("plain")
