@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions.columns import in_order, joined
+from kbspark.operators import table_texts
 
 #: Patterns of policy headings and of document numbers in a path.
 NUMERALS = "[一二三四五六七八九十]+"
@@ -95,22 +96,12 @@ def table_rows_to_text(cells: DataFrame) -> DataFrame:
     """(file, row_id, text) of cells (file, table_no, row_no, col_no, text), row 0 being the header.
 
     `header: cell` for the cells after the first column; a row with an empty first cell goes on with
-    the row before, also across tables: its last cell is added.
+    the row before, also across tables: its last cell is added. Cells without a file or a place count for nothing.
+    Cells are shuffled once, packed by blocks of rows; the texts are written as they are read in order.
     """
-    headers = cells.where("row_no = 0").select("file", "table_no", "col_no", F.col("text").alias("header"))
-    rows = cells.where("row_no > 0").groupBy("file", "table_no", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "text"))).alias("cells"))
-    order = Window.partitionBy("file").orderBy("table_no", "row_no")
-    head = F.coalesce(F.element_at("cells", 1)["text"], F.lit(""))
-    rows = rows.withColumn("row_id", F.sum(F.when(head != "", 1).otherwise(0)).over(order)).where("row_id > 0").withColumn("goes_on", head == "")
-    texts = (
-        rows.where("NOT goes_on").select("file", "table_no", "row_id", F.explode("cells").alias("c")).where("c.col_no > 0")
-        .select("file", "table_no", "row_id", "c.col_no", "c.text").join(headers, ["file", "table_no", "col_no"], "left")
-        .groupBy("file", "row_id").agg(joined(in_order("col_no", F.concat(F.coalesce("header", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))), "\n").alias("text"))
-    )
-    more = rows.where("goes_on").groupBy("file", "row_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "row_no", F.element_at("cells", -1)["text"].alias("text")))), lambda x: F.coalesce(x["text"], F.lit(""))), "").alias("more")
-    )
-    return texts.join(more, ["file", "row_id"], "left").select("file", "row_id", F.concat("text", F.coalesce("more", F.lit(""))).alias("text"))
+    placed = cells.where("file IS NOT NULL AND table_no IS NOT NULL AND row_no >= 0 AND col_no IS NOT NULL")
+    runs = placed.select("file", "table_no", "row_no", "col_no", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(table_texts.pack, table_texts.PACKED)
+    return runs.repartition("file").sortWithinPartitions("file", "table_no", "block").mapInArrow(table_texts.read, table_texts.TEXTS)
 
 
 def markdown_table(cells: DataFrame) -> DataFrame:
